@@ -231,7 +231,7 @@ class _Many(Matcher):
         return all(p.is_static for p in self.parts)
 
     def __eq__(self, other):
-        return type(self) is type(other) and len(self.parts) == len(other.parts) and all(p in other.parts for p in self.parts)
+        return type(self) is type(other) and all(p in other.parts for p in self.parts) and all(p in self.parts for p in other.parts)
 
     def __hash__(self):
         return hash((type(self), frozenset(map(hash, self.parts))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factmill.functions.predicates import In, Matcher
 from factmill.operators.execute import execute
-from factmill.sources.checkpoints import cut
+from factmill.sources.checkpoints import cut, cut_union
 
 
 def descendants(df: DataFrame, seed: Matcher, fk_field: str, key: str = "id") -> DataFrame:
@@ -26,7 +26,7 @@ def descendants(df: DataFrame, seed: Matcher, fk_field: str, key: str = "id") ->
         ahead = state.select(F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("hit").alias("up_hit"))
         open_ = state.where("not hit and up is not null").join(ahead, "up", "left")
         moved = open_.select("id", F.col("next_up").alias("up"), F.coalesce("up_hit", F.lit(False)).alias("hit"))
-        state = cut(state.where("hit or up is null").union(moved))
+        state = cut_union(state.where("hit or up is null"), moved)
         now = state.where("hit").count()
         if now == found:
             return state.where("hit").select(F.col("id").alias(key))
@@ -67,7 +67,5 @@ def _reach_deltas(step: DataFrame, total: DataFrame) -> DataFrame:
         ahead = step.join(delta, step["src"] == delta["v"], "left_semi").select(F.col("dst").alias("v")).distinct()
         delta = cut(ahead.join(total, "v", "left_anti"))
         rounds += 1
-        total = total.union(delta)
-        if rounds % 8 == 0:
-            total = cut(total.coalesce(max(1, delta.sparkSession.sparkContext.defaultParallelism)))
+        total = cut_union(total, delta) if rounds % 8 == 0 else total.union(delta)
     return total

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from factmill.functions.predicates import Matcher
 from factmill.operators.closure import reach
 from factmill.operators.execute import execute
-from factmill.sources.checkpoints import cut
+from factmill.sources.checkpoints import cut, cut_union
 
 
 @dataclass(frozen=True)
@@ -278,7 +278,7 @@ class Program:
                         found[r.head] = found[r.head].union(new) if r.head in found else new
             empty = self.spark.createDataFrame([], "v long")
             delta = {n: cut(found[n].distinct().join(total[n], "v", "left_anti")) if n in found else empty for n in group}
-            total = {n: cut(total[n].union(delta[n])) if n in found else total[n] for n in group}
+            total = {n: cut_union(total[n], delta[n]) if n in found else total[n] for n in group}
         return total
 
     def result(self, name: str) -> DataFrame:

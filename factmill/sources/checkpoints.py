@@ -1,8 +1,9 @@
-"""Cutting lineage with copies in the folder that the cluster shares."""
+"""Cutting lineage with tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, with its rows in the shared folder and no lineage behind them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and read back: its rows are in the shared folder, with no lineage behind them.
+
+    A written table, since in loops the copies that checkpoint() returns keep column
+    properties under identities they no longer have, on which unions of them fail.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both sides' rows, cut, in as many files as a shuffle has partitions at most."""
+    return cut(a.union(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
