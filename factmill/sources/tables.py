@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factmill.functions.predicates import signed
+from factmill.sources.checkpoints import cut
 
 CHUNK = 1024
 
@@ -32,9 +33,10 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with `id` by the given order, for tables without a dense key.
 
     Ranks within range partitions plus the sizes of those before: no single task sorts
-    the table. Ties are numbered in any order.
+    the table. The ranges are kept once dealt, as dealing them anew may draw other bounds.
+    Ties are numbered in any order.
     """
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    spread = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     # one row to each partition
@@ -66,8 +68,8 @@ def add_strings(df: DataFrame, name: str, values: list[str], key: str = "id") ->
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): the distinct texts and their ranks from 0. One row for each distinct text."""
-    return df.select(column).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(column)) - 1)
+    """(column, code): the distinct texts and their ranks from 0."""
+    return numbered(df.select(column).distinct(), column).withColumnRenamed("id", "code")
 
 
 def prefix_codes(codes: DataFrame, column: str, prefix: str) -> DataFrame:
