@@ -34,8 +34,8 @@ MEASURES = {
     "symbol_share": ("upper", 500),
     "capital_share": ("upper", 2500),
     "dup_line_share": ("upper", 3000),
-    "repeat_share": ("upper", 1500),
-    "word_length": ("both", 300),
+    "repeat_share": ("upper", 2000),
+    "word_length": ("both", 500),
 }
 
 
