@@ -33,7 +33,7 @@ SPREADS = 6
 MEASURES = {
     "symbol_share": ("upper", 500),
     "capital_share": ("upper", 2500),
-    "dup_line_share": ("upper", 3000),
+    "dup_line_share": ("upper", 5000),
     "repeat_share": ("upper", 2000),
     "word_length": ("both", 500),
 }
