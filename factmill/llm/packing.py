@@ -7,8 +7,8 @@ size. With f(j) the least cost of the stream up to cut j,
     f(j) = penalty(j) + min over i within reach of f(i) + size - (pos(j) - pos(i)),
 
 whose minimum over the reach is that of f(i) + pos(i): a monotone queue yields it in
-constant time per cut; windows of a power of two are looked up by place. Steps of several
-windows, full but for the last, have a queue each.
+constant time per cut; windows of a power of two are looked up by place. Steps of two
+windows have a queue of their own.
 
 Each task packs its own rows as they stream in, a block of tokens at a time, carrying the
 unfinished window over to the next block. Texts are never shuffled, and what a task holds
@@ -33,11 +33,9 @@ END_ID = 1
 BLOCK = 1 << 19
 SENTENCE_PENALTY = 1.0
 WORD_PENALTY = 4.0
-#: Windows that a step between two regular cuts may have.
-SPANS = 2
 #: Shorter windows are never made on purpose, though a power of two needs no padding.
 LEAST_WINDOW = 256
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 
 
 class Tokens:
@@ -49,8 +47,7 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, bytes] = {"": b""}
         self.most = cache_chunks
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
@@ -62,28 +59,28 @@ class Tokens:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit; words not met before are encoded together."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) >= self.most:
-            self.cache.clear()
-        if len(self.words) >= self.most:
-            self.words = {"": b""}
-        cache, words = self.cache, self.words
-        new = {c: _halves(c) for own in chunks for c in own if c not in cache}
-        self._learn([w for w in {w for both in new.values() for w in both} if w not in words])
-        for chunk, (word, mark) in new.items():
-            cache[chunk] = words[word] + words[mark] if mark else words[word]
-        return [b"".join(map(cache.__getitem__, own)) for own in chunks]
+            self.cache = {"": b""}
+        cache = self.cache
+        chunks = [_apart(t).replace("\n", " ").split(" ") for t in texts]
+        coded = [list(map(cache.get, own)) for own in chunks]
+        gaps = [[i for i, v in enumerate(have) if v is None] for have in coded]
+        self._learn(list({own[i] for own, at in zip(chunks, gaps, strict=True) for i in at}))
+        for own, have, at in zip(chunks, coded, gaps, strict=True):
+            for i in at:
+                have[i] = cache[own[i]]
+        return list(map(b"".join, coded))
 
     def _learn(self, new: list[str]) -> None:
         """Words of letters alone are encoded as one text, in which every word's last id shows its end."""
         letters = [w for w in new if w.isalpha()]
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 coded, ends = ids.tobytes(), (4 * ends).tolist()
-                self.words.update(zip(part, map(coded.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+                self.cache.update(zip(part, map(coded.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
                 self._learn_alone(part)
         self._learn_alone([w for w in new if not w.isalpha()])
@@ -92,15 +89,32 @@ class Tokens:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(coded.ids, "<u4").tobytes()
+                self.cache[word] = np.array(coded.ids, "<u4").tobytes()
 
 
-def _halves(chunk: str) -> tuple[str, str]:
-    """A word and the point or comma behind it, which is a token by itself there; ASCII words in lower case."""
-    mark = ""
-    if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():
-        chunk, mark = chunk[:-1], chunk[-1]
-    return (chunk.lower() if chunk.isascii() and chunk.isalpha() else chunk), mark
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
+#: Latin-1 characters: 1 points and commas, 2 others that are neither letters, digits nor space.
+_KIND = np.array([1 if c in ".," else 0 if c.isalnum() or c in _SPACE else 2 for c in map(chr, range(256))], np.uint8)
+
+
+def _apart(text: str) -> str:
+    """An equal text for the tokenizer, with fewer different words: lower case, points and commas set apart.
+
+    Both hold for Latin-1, which has no combining marks, and the second where points and
+    commas touch only letters, digits and space; elsewhere the text stays as it is. Texts
+    with added tokens, which are looked for as they stand, hold "<" and "|" and keep case.
+    """
+    try:
+        kind = _KIND[np.frombuffer(text.encode("latin-1"), np.uint8)]
+    except UnicodeEncodeError:
+        return text
+    if "<|" in text:
+        return text
+    text = text.lower()
+    marks = kind == 1
+    if (marks[1:] & (kind[:-1] > 0)).any() or (marks[:-1] & (kind[1:] > 0)).any():
+        return text
+    return text.replace(",", " ,").replace(".", " .")
 
 
 @lru_cache(2)
@@ -108,42 +122,50 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def best_cuts(pos: list[int], penalty: list[float], window: int = WINDOW, least: int = LEAST_WINDOW, spans: int = SPANS) -> tuple[list[float], list[tuple[int, int]]]:
+def best_cuts(pos: list[int], penalty: list[float], window: int = WINDOW, least: int = LEAST_WINDOW) -> tuple[list[float], list[tuple[int, int]]]:
     """f, and (previous cut's index, windows since), for cuts at pos (ascending from 0, steps of at most window).
 
-    A step of several windows cuts all but the last at their full size, within a sentence,
-    at WORD_PENALTY each. Queue k holds the cuts that lie k windows back.
+    A step of two windows cuts the first at its full size, within a sentence, at
+    WORD_PENALTY. The queues hold the cuts up to one window back, and up to two.
     """
-    powers = [1 << k for k in range(window.bit_length()) if least <= 1 << k < window]
-    index = {p: i for i, p in enumerate(pos)}
-    f, back = [0.0], [(-1, 0)]
-    queues = [deque() for _ in range(spans)]
-    ahead = [0] * spans
-    steps = [(k, queues[k], k * window, (k + 1) * window, k * WORD_PENALTY + (k + 1) * window) for k in range(spans)]
+    exact: dict[int, list[int]] = {}
+    places = np.array(pos)
+    for size in (1 << k for k in range(window.bit_length()) if least <= 1 << k < window):
+        i = np.minimum(np.searchsorted(places, places - size), len(pos) - 1)
+        for j in np.flatnonzero(places[i] == places - size).tolist():
+            exact.setdefault(j, []).append(int(i[j]))
+    f, back, key = [0.0], [(-1, 0)], [float(pos[0])]
+    one, two, ahead = deque([0]), deque(), 0
     for j in range(1, len(pos)):
         p = pos[j]
-        cost, at = float("inf"), (0, 0)
-        for k, queue, near, far, fixed in steps:
-            i = ahead[k]
-            while i < j and pos[i] < p - near:
-                key = f[i] + pos[i]
-                while queue and queue[-1][0] >= key:
-                    queue.pop()
-                queue.append((key, pos[i], i))
-                i += 1
-            ahead[k] = i
-            while queue and queue[0][1] < p - far:
-                queue.popleft()
-            if not queue:
-                break
-            if queue[0][0] + fixed - p < cost:
-                cost, at = queue[0][0] + fixed - p, (queue[0][2], k + 1)
-        for size in powers:
-            i = index.get(p - size)
-            if i is not None and f[i] < cost:
-                cost, at = f[i], (i, 1)
-        f.append(cost + penalty[j])
-        back.append(at)
+        near = p - window
+        while pos[one[0]] < near:
+            one.popleft()
+        at, windows = one[0], 1
+        cost = key[at] + window - p
+        while pos[ahead] < near:
+            new = key[ahead]
+            while two and key[two[-1]] >= new:
+                two.pop()
+            two.append(ahead)
+            ahead += 1
+        while two and pos[two[0]] < near - window:
+            two.popleft()
+        if two and key[two[0]] + WORD_PENALTY + 2 * window - p < cost:
+            at, windows = two[0], 2
+            cost = key[at] + WORD_PENALTY + 2 * window - p
+        if j in exact:
+            for i in exact[j]:
+                if f[i] < cost:
+                    cost, at, windows = f[i], i, 1
+        cost += penalty[j]
+        f.append(cost)
+        back.append((at, windows))
+        new = cost + p
+        key.append(new)
+        while one and key[one[-1]] >= new:
+            one.pop()
+        one.append(j)
     return f, back
 
 

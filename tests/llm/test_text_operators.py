@@ -227,7 +227,7 @@ def test_best_cuts_by_search():
                 a += 8
                 pos = sorted({*pos, a})
         cost = [0.0] + [rnd.choice([0.0, 1.0, 3.0]) for _ in pos[1:]]
-        f, back = packing.best_cuts(pos, cost, window=8, least=2, spans=2)
+        f, back = packing.best_cuts(pos, cost, window=8, least=2)
         want = [0.0]
         for j in range(1, len(pos)):
             steps = []
