@@ -16,8 +16,9 @@ def test_pipeline_against_what_was_planted(spark, tmp_path):
     rows, labels = labelled(rnd)
     junk = {i for i, q, _ in labels if not q}
     toxic = {i for i, _, t in labels if t}
-    for k in range(20):  # exact and near copies of one text, and texts with personal data
-        rows.append((1000 + k, "a stone " * 3 + "river house green walks. " + " ".join(f"w{j}" for j in range(300)) + (" extra" if k == 19 else "")))
+    copied = prose(rnd, 300)
+    for k in range(20):  # copies of one text, some with other spaces and capitals
+        rows.append((1000 + k, copied if k % 3 else copied.replace(". ", ".\n").replace("ri", "Ri", k)))
     clean = prose(rnd, 80)
     rows.append((2000, f"{clean} write to me@mail.example.com or +1 (269) 555-3296 today"))
     full = [(i, t, "en", "s", len(t)) for i, t in rows]
