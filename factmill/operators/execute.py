@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factmill.functions.predicates import And, In, Matcher, Not, Or, push_not, required_bits, signed, simplify
+from factmill.functions.predicates import And, In, Matcher, Not, push_not, required_bits, signed, simplify
 from factmill.sources.tables import CHUNK
 
 AGGREGATES = ("sum", "max", "min", "mean", "count")
@@ -106,8 +106,3 @@ def aggregate_frame(df: DataFrame, matcher: Matcher, column: str, op: str = "sum
 
 def aggregate(df: DataFrame, matcher: Matcher, column: str, op: str = "sum") -> float:
     return aggregate_frame(df, matcher, column, op).first()[0]
-
-
-def existence(conditions: list[Matcher]) -> Matcher:
-    """Any of the conditions, memberships included."""
-    return Or.from_list(conditions)

@@ -1,9 +1,10 @@
 import random
+from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
 
-from factmill.functions.predicates import Always, Eq, Ge, HasTags, In, Lt, Ne, Not, Or, Prefix
+from factmill.functions.predicates import Always, Eq, Ge, HasTags, In, Lt, Matcher, Ne, Never, Not, Or, Prefix, simplify
 from factmill.operators import sets
 from factmill.operators.closure import descendants, reach, semi_naive_join
 from factmill.operators.execute import aggregate, execute, execute_mask, execute_skipping, semi_join
@@ -34,6 +35,27 @@ def test_filters(spark):
     assert ids(execute(f, Lt("x", 10.0) | Ge("x", 10.0)), "row") == [0, 1], "a null is no value"
 
 
+@dataclass(frozen=True)
+class Multiple(Matcher):
+    """A leaf of a user's own: the field is a multiple of n."""
+
+    field: str
+    n: int
+
+    def to_column(self, schema=None, strict_ieee=False):
+        return F.col(self.field) % self.n == 0
+
+    def implies_(self, other):
+        return isinstance(other, Multiple) and self.field == other.field and self.n % other.n == 0
+
+
+def test_own_leaves(spark):
+    assert simplify(Multiple("id", 6) & Multiple("id", 3)) == Multiple("id", 6)
+    assert simplify(Multiple("id", 6) & ~Multiple("id", 3)) == Never()
+    assert ids(execute(spark.range(20), Multiple("id", 6) | Eq("id", 1))) == [0, 1, 6, 12, 18]
+    assert ids(execute(spark.range(9), ~Multiple("id", 3))) == [1, 2, 4, 5, 7, 8]
+
+
 def test_joins_in_every_position(spark):
     users = spark.range(3)
     logs = rows(spark, "row long, uid long", (0, 0), (1, 0), (2, 2), (3, 5), (4, None))
