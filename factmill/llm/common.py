@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factmill.sources.checkpoints import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of
-    our own is used only where that is unset, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factmill-"))
+    """The rows of df, computed once and kept as a checkpoint in the shared folder, which Spark cleans up."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

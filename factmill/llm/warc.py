@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factmill.sources.checkpoints import shared_folder
+
 from .common import cut
 
 #: Characters of payload in a chunk at most.
@@ -220,7 +222,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """The records of all pages, written to archives in the shared checkpoint folder and read back."""
     spark = pages.sparkSession
-    cut(spark.range(0))  # names the folder where it is unset
-    folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, folder, least_bytes)
     return read(spark, folder)
