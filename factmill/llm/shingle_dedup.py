@@ -1,0 +1,182 @@
+"""Near copies by the Jaccard similarity of word shingles, found and verified exactly.
+
+A text is the set of hashes of its five-word shingles (64 bits). Texts with equal sets
+are one node before anything else. Two sets of similarity 0.8 or more share one at least
+of their first n - ceil(0.8 n) + 1 shingles in any fixed order, so the postings are those
+prefixes only and no pair is missed. Pairs that meet are pruned by what sizes and places
+still allow, and the others are verified on the whole sets.
+
+The order puts shingles that a sample of texts finds common last, so that passages which
+many texts quote seldom get a posting; it decides the work alone, never the result. A
+list isn't expanded at once: its members are first compared with one pivot each round,
+and pairs of the same component need no further comparison. What is left of a list
+after that is expanded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import connected_components, cut
+
+SHINGLE = 5
+SEED = 42
+#: Similarity is at least NUMERATOR / DENOMINATOR.
+NUMERATOR, DENOMINATOR = 4, 5
+#: Longer lists get ROUNDS pivots before they are expanded, others one.
+LIST_LIMIT = 32
+ROUNDS = 3
+#: A shingle is common if so many texts of one in SAMPLE hold it; so many are noted at most.
+SAMPLE, COMMON, MOST_COMMON = 16, 8, 200_000
+#: Rows that are sent to all tasks at most, where a join would else deal out texts.
+BROADCAST = 200_000
+_SLICE = 256
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, ascending; one of all words if there are fewer, none without words."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    width = min(shingle, len(words))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    found = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())), np.uint64, len(starts))
+    return np.unique(found.view(np.int64))
+
+
+def key_of(found: np.ndarray) -> int:
+    """One number for a set of shingles; 0 for none."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).view(np.int64)) if len(found) else 0
+
+
+def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of which similar sets share one at least; those of common (ascending) come last in the order."""
+    n = len(found)
+    if not n:
+        return found
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        often = common[at] == found
+        found = np.concatenate((found[~often], found[often]))
+    return found[: n + (-NUMERATOR * n // DENOMINATOR) + 1]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def _with_shingles(texts: DataFrame, columns: dict[str, str], values, shingle: int) -> DataFrame:
+    """id, text_hash and the columns that values(set) gives for each text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                rows = [values(shingles(x.as_py(), shingle)) for x in batch.column(2)]
+                made = [pa.array(list(v), kinds[t]) for v, t in zip(zip(*rows, strict=True), columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "text_hash", *columns])
+
+    return texts.mapInArrow(each, ", ".join(["id long", "text_hash long", *(f"{c} {t}" for c, t in columns.items())]))
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    some = _with_shingles(texts.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0), {"found": "array<long>"}, lambda s: (s,), shingle)
+    counts = some.select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64))
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs whose sizes and places in the order allow the similarity."""
+    # the bound holds where the two first meet, so each similar pair passes at one list at least
+    overlap = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    enough = (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (F.col("p.n") + F.col("q.n"))
+    return pairs.where(enough).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
+
+
+def _among(df: DataFrame, few: DataFrame, on, how: str) -> DataFrame:
+    """df joined to rows that are seldom many: sent to all tasks up to BROADCAST rows, dealt out beyond that."""
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST else few, on, how)
+
+
+def links(texts: DataFrame, prints: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b) edges whose components are those of the keys with similarity 0.8 or more.
+
+    texts has id, text_hash, text; prints has key, text_hash, n and prefix of each text.
+    """
+    nodes = prints.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    names = cut(prints.groupBy("key").agg(F.min("text_hash").alias("text_hash")))
+    postings = nodes.select("key", "n", F.posexplode("prefix").alias("place", "h"))
+    by_size = Window.partitionBy("h").orderBy("n")
+    # a posting without another of similar size in its list has nobody to meet there
+    fits = (NUMERATOR * F.col("n") <= DENOMINATOR * F.lag("n").over(by_size)) | (NUMERATOR * F.lead("n").over(by_size) <= DENOMINATOR * F.col("n"))
+    met = postings.withColumn("fits", fits).where("fits")
+    lists = cut(met.select("h", F.count("*").over(Window.partitionBy("h")).alias("size"), F.struct("key", "n", "place").alias("m")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(names, "key").select("text_hash"))
+        own = _among(texts, wanted, "text_hash", "left_semi").select("id", "text_hash", "text")
+        made = _with_shingles(own, {"key": "long", "found": "array<long>"}, lambda s: (key_of(s), s), shingle)
+        sets = cut(made.groupBy("key").agg(F.first("found").alias("found")))
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("found").alias("y")), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        return cut(both.where((NUMERATOR + DENOMINATOR) * same >= NUMERATOR * (F.size("x") + F.size("y"))).select("a", "b"))
+
+    def still_open(lists: DataFrame, found: DataFrame) -> DataFrame:
+        """h, m, label of the lists whose members are not of one component yet."""
+        label = connected_components(found).select(F.col("node").alias("key"), "component")
+        named = _among(lists.withColumn("key", F.col("m.key")), label, "key", "left").select("h", "m", F.coalesce("component", "key").alias("label"))
+        whole = Window.partitionBy("h")
+        return named.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low < high").drop("low", "high")
+
+    edges, turn, large = None, lists.withColumn("label", F.col("m.key")), lists.where(F.col("size") > list_limit)
+    for k in range(rounds):
+        pivots = turn.groupBy("h").agg(F.min(F.struct(F.xxhash64("m.key", F.lit(k)), "m", "label")).alias("best")).select("h", F.col("best.m").alias("p"), F.col("best.label").alias("own"))
+        pairs = cut(_possible(turn.join(pivots, "h").where("label <> own").select("p", F.col("m").alias("q"))))
+        new = verified(pairs)
+        edges = new if edges is None else edges.union(new)
+        if k + 1 == rounds or (turn := cut(still_open(large, edges))).isEmpty():
+            break
+    members = cut(still_open(lists, edges))
+    rest = members.select("h", F.col("m").alias("p"), F.col("label").alias("x")).join(members.select("h", F.col("m").alias("q"), F.col("label").alias("y")), "h")
+    return edges.union(verified(cut(_possible(rest.where("x <> y and p.key < q.key")))))
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT, rounds: int = ROUNDS) -> DataFrame:
+    """id, text_hash, component of every row of docs, texts without words being copies of each other."""
+    texts = _texts(docs)
+    common = _common(texts, shingle)
+    made = {"key": "long", "n": "long", "prefix": "array<long>"}
+    prints = cut(_with_shingles(texts, made, lambda s: (key_of(s), len(s), prefix(s, common)), shingle))
+    root = connected_components(links(texts, prints, shingle, list_limit, rounds)).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    return _among(prints.select("id", "text_hash", "key"), root, "key", "left").select("id", "text_hash", F.coalesce("root", "key").alias("component"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The documents but for near copies: one row of each component stays.
+
+    It is the row of the smallest doc_id (rows without one come last), then of the
+    smallest hash of the text, then the smallest row.
+    """
+    rows = cut(components(docs, shingle).groupBy("component", "id", "text_hash").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("first")
+    chosen = rows.groupBy("component").agg(first).select(F.col("component").alias("of"), F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    # rows that go, and rows that stay but come several times
+    other = cut(rows.join(chosen, rows["component"] == chosen["of"]).withColumn("stays", is_first).where("not stays or n > 1").select("id", "text_hash", "stays"))
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    own = lambda few: hashed["doc_id"].cast("long").eqNullSafe(few["id"]) & (hashed["_hash"] == few["text_hash"])
+    repeated = other.where("stays")
+    single = _among(hashed, other, own(other), "left_anti").select(*docs.columns)
+    once = _among(hashed, repeated, own(repeated), "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.union(once)

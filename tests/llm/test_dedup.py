@@ -4,7 +4,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from factmill.llm import embedding_dedup, simhash_dedup
+from factmill.llm import embedding_dedup, shingle_dedup, simhash_dedup
 from factmill.llm.common import connected_components
 
 
@@ -95,3 +95,36 @@ def test_embeddings(spark):
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None} == want
         assert len(got) == len(every) + 1 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_shingle_copies(spark, docs, monkeypatch):
+    """The pipeline's stage keeps one row of each component of five-word Jaccard 0.8, as plain search does."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows, passage = [], text(30)
+    for family in range(12):
+        base = text(rnd.randrange(20, 200))
+        for i in range(8 if family else 45):
+            copy = list(base)
+            for _ in range(rnd.randrange(5)):
+                copy[rnd.randrange(len(copy))] = "changed"
+            rows.append((100 * family + i, " ".join(copy)))
+    rows += [(2000 + i, " ".join(text(30) + passage + text(20))) for i in range(50)]
+    rows += [(3000, None), (3001, " \n"), (3002, "One two"), (3003, "one  TWO"), (3004, "a b c d e"), (3004, "a b c d e")]
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})((t or "").lower().split())
+    sets = {i: grams(t) for i, t in rows}
+    want = components(set(sets), lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    near = {i for i in want if want[i] != i and (simhash_dedup.fingerprint(dict(rows)[i]) ^ simhash_dedup.fingerprint(dict(rows)[want[i]])).bit_count() > 2}
+    assert len(near) > 20  # these the fingerprints' contract left in
+    kept = corpus_pipeline.distinct(spark, docs(*rows), "")
+    assert kept.columns == docs(*rows).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    monkeypatch.setattr(shingle_dedup, "SAMPLE", 1)  # with common shingles, long lists and a single pivot
+    monkeypatch.setattr(shingle_dedup, "COMMON", 3)
+    for limit, rounds in ((1, 3), (32, 1)):
+        got = {r["id"]: r["component"] for r in shingle_dedup.components(docs(*rows), list_limit=limit, rounds=rounds).collect()}
+        assert {(i, j) for i in got for j in got if got[i] == got[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
+    assert shingle_dedup.keep_one(docs()).count() == 0
