@@ -128,3 +128,12 @@ def test_shingle_copies(spark, docs, monkeypatch):
         got = {r["id"]: r["component"] for r in shingle_dedup.components(docs(*rows), list_limit=limit, rounds=rounds).collect()}
         assert {(i, j) for i in got for j in got if got[i] == got[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
     assert shingle_dedup.keep_one(docs()).count() == 0
+
+
+def test_rows_that_share_or_lack_ids(spark, docs):
+    """Different texts of one doc_id all stay; of rows without a doc_id each group keeps one."""
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue black white grey")
+    kept = corpus_pipeline.distinct(spark, docs((1, a), (1, b), (2, a), (None, c), (None, c), (None, b)), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (0, c)])
