@@ -1,7 +1,7 @@
 """WARC archives from a chunked record table.
 
-Payloads travel as rows of record identifier and chunk number, each chunk of bounded
-size, with the digest carried from chunk to chunk. A chunk is one WARC record: the first
+Pages travel whole, as rows of their table: a task holds whole payloads (up to 64 at
+once) while it digests them and cuts them into chunks of bounded size. A chunk is one WARC record: the first
 a response (or a revisit, without payload, of an equal payload elsewhere), later ones
 continuation segments as WARC/1.1 defines them. Spark's own text writer puts them into
 gzip files, so archives go wherever Spark can write and a lost task leaves none behind.
@@ -35,7 +35,7 @@ def digest_text(sha1: bytes) -> str:
 
 
 def digests(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """page_id, payload_bytes, payload_digest: of every row's whole payload in UTF-8, chunk by chunk."""
+    """page_id, payload_bytes, payload_digest: of every row's whole payload in UTF-8, which is held whole."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
