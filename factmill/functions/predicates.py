@@ -17,7 +17,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, LongType, StructType
+
+#: The column that holds an entity's tags: an unsigned 64-bit word, kept in a long.
+TAG_WORD = "mask"
 
 #: A point of the value line: (value, 0) lies just before the value, (value, 1) just behind.
 _LOW, _HIGH = (-math.inf, -1), (math.inf, 2)
@@ -91,10 +94,16 @@ class _Compare(Matcher):
 
     def _sides(self, schema: StructType | None) -> tuple[Column, Column, bool]:
         kind = schema[self.field].dataType if schema is not None and self.field in schema.fieldNames() else None
-        literal = F.lit(self.value)
+        column, value = F.col(self.field), self.value
+        if self.field == TAG_WORD and isinstance(value, int) and isinstance(kind, (LongType, type(None))):
+            literal = F.lit(signed(value % (1 << 64)))
+            if isinstance(self, (Lt, Ge)):  # words are unsigned: the sign bit turned over gives longs their order
+                column, literal = (x.bitwiseXOR(F.lit(signed(1 << 63))) for x in (column, literal))
+            return column, literal, False
+        literal = F.lit(value)
         if isinstance(kind, FloatType):
             literal = literal.cast("float")
-        return F.col(self.field), literal, isinstance(kind, (FloatType, DoubleType))
+        return column, literal, isinstance(kind, (FloatType, DoubleType))
 
 
 def _ends(value: Any) -> tuple[tuple, tuple]:
@@ -135,7 +144,7 @@ class Eq(_Compare):
         return (column == literal) & ~F.isnan(column) if strict_ieee and floating else column == literal
 
     def required_bits_(self):
-        return self.value if self.field == "mask" and isinstance(self.value, int) else 0
+        return self.value % (1 << 64) if self.field == TAG_WORD and isinstance(self.value, int) else 0
 
 
 class Ne(_Compare):
@@ -194,7 +203,7 @@ class HasTags(Matcher):
     """Tag words that hold all of `bits`, whatever else they hold."""
 
     bits: int
-    field: str = "mask"
+    field: str = TAG_WORD
 
     def to_column(self, schema=None, strict_ieee=False):
         bits = F.lit(signed(self.bits))
@@ -204,7 +213,21 @@ class HasTags(Matcher):
         return isinstance(other, HasTags) and self.field == other.field and self.bits & other.bits == other.bits
 
     def required_bits_(self):
-        return self.bits if self.field == "mask" else 0
+        return self.bits if self.field == TAG_WORD else 0
+
+
+@dataclass(frozen=True, eq=False)
+class Kernel(Matcher):
+    """A vectorised predicate of the user's own: a function of pandas Series, one to each field, to a boolean Series.
+
+    Runs as a Pandas UDF beside the built-in conditions, which still reach the scan.
+    """
+
+    names: tuple[str, ...]
+    function: Callable
+
+    def to_column(self, schema=None, strict_ieee=False):
+        return F.pandas_udf(self.function, "boolean")(*map(F.col, self.names))
 
 
 @dataclass(frozen=True, eq=False)
@@ -335,9 +358,10 @@ def _minimal(parts: list[Matcher], redundant: Callable[[Matcher, Matcher], bool]
 def simplify(m: Matcher, nullable: Set[str] = frozenset()) -> Matcher:
     """An equal, smaller tree.
 
+    Fields in `nullable` may hold values that neither a comparison nor its opposite accepts.
     Operands that another one implies go from an And, those that imply another go from an
     Or; an And of excluding operands is Never, an Or of exhausting ones Always. The last
-    would let in rows whose value is null, so it is left undone for fields in `nullable`.
+    would let in such rows, so it is left undone for those fields.
     """
     if isinstance(m, Not):
         return negate(simplify(m.part, nullable))
@@ -363,7 +387,7 @@ def fields(m: Matcher) -> set[str]:
         return set().union(*map(fields, m.parts))
     if isinstance(m, Not):
         return fields(m.part)
-    return {m.field} if hasattr(m, "field") else set()
+    return {m.field} if hasattr(m, "field") else set(getattr(m, "names", ()))
 
 
 def push_not(m: Matcher) -> Matcher:

@@ -6,17 +6,23 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from factmill.functions.predicates import And, In, Matcher, Not, push_not, required_bits, signed, simplify
-from factmill.sources.tables import CHUNK
+from factmill.sources.tables import CHUNK, chunk_summaries_empty
 
 AGGREGATES = ("sum", "max", "min", "mean", "count")
 _names = count()
+#: Key ranges that a skipping filter holds at most; more chunks than that share ranges.
+MOST_RANGES = 256
 
 
-def _plan(df: DataFrame, matcher: Matcher) -> Matcher:
-    """The tree to run: negations at the leaves, redundant parts gone, rows with nulls treated as SQL does."""
-    nullable = {f.name for f in df.schema.fields if f.nullable}
+def _plan(df: DataFrame, matcher: Matcher, strict_ieee: bool = False) -> Matcher:
+    """The tree to run: negations at the leaves, redundant parts gone, rows with nulls treated as SQL does.
+
+    With strict_ieee a NaN is neither below a value nor not below it, as a null is.
+    """
+    nullable = {f.name for f in df.schema.fields if f.nullable or (strict_ieee and isinstance(f.dataType, (FloatType, DoubleType)))}
     return simplify(push_not(matcher), nullable)
 
 
@@ -53,7 +59,7 @@ def execute(df: DataFrame, matcher: Matcher, strict_ieee: bool = False) -> DataF
     as a conjunct becomes a semi-join, its negation an anti-join (which keeps keys that
     are null or dangle); elsewhere it becomes an existence flag.
     """
-    m = _plan(df, matcher)
+    m = _plan(df, matcher, strict_ieee)
     conjuncts = m.parts if isinstance(m, And) else (m,)
     static = [c for c in conjuncts if c.is_static]
     if static:
@@ -74,20 +80,58 @@ def execute(df: DataFrame, matcher: Matcher, strict_ieee: bool = False) -> DataF
 
 def execute_mask(df: DataFrame, matcher: Matcher, name: str = "match", strict_ieee: bool = False) -> DataFrame:
     """All rows of df with a boolean column that says whether the predicate accepts them."""
-    flagged, condition, flags = _flagged(df, _plan(df, matcher), strict_ieee)
+    flagged, condition, flags = _flagged(df, _plan(df, matcher, strict_ieee), strict_ieee)
     return flagged.withColumn(name, F.coalesce(condition, F.lit(False))).drop(*flags)
 
 
-def execute_skipping(df: DataFrame, matcher: Matcher, summary: DataFrame, chunk: int = CHUNK, key: str = "id") -> DataFrame:
+def execute_out(df: DataFrame, matcher: Matcher, sink: str, strict_ieee: bool = False) -> DataFrame:
+    """execute into a Parquet table that the caller owns and that each call overwrites; returns what was written."""
+    matching = execute(df, matcher, strict_ieee)
+    matching.write.mode("overwrite").parquet(sink)
+    return df.sparkSession.read.schema(matching.schema).parquet(sink)
+
+
+def live_ranges(summary: DataFrame | None, bits: int, chunk: int = CHUNK, most: int = MOST_RANGES) -> list[tuple[int, int]] | None:
+    """Half-open key ranges that hold every chunk with all of bits; None where nothing is known.
+
+    Chunks are dealt to `most` equal stretches of the key line, and each stretch gives the
+    range from its first live chunk to its last, so at most that many rows come back.
+    """
+    if chunk_summaries_empty(summary) or not bits:
+        return None
+    bits = signed(bits)
+    known = summary.where("chunk_id is not null")
+    ends = known.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+    if ends[0] is None:
+        return []
+    width = max(1, -(-(ends[1] - ends[0] + 1) // most))
+    live = known.where(F.col("summary").bitwiseAND(F.lit(bits)) == bits)
+    stretches = live.groupBy(F.expr(f"(chunk_id - {ends[0]}) div {width}").alias("s")).agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high"))
+    out: list[tuple[int, int]] = []
+    for r in sorted(stretches.collect()):
+        if out and out[-1][1] == r["low"] * chunk:
+            out[-1] = (out[-1][0], (r["high"] + 1) * chunk)
+        else:
+            out.append((r["low"] * chunk, (r["high"] + 1) * chunk))
+    return out
+
+
+def execute_skipping(df: DataFrame, matcher: Matcher, summary: DataFrame | None, chunk: int = CHUNK, key: str = "id", strict_ieee: bool = False) -> DataFrame:
     """As execute, but chunks whose summary lacks a required tag bit are left out first.
 
-    summary is chunk_summary(df), best kept beside the table; the result doesn't depend on it.
+    summary is chunk_summary(df), best kept beside the table (store_chunked keeps both).
+    Live chunks become key ranges in the filter, which Parquet compares with its own
+    statistics, so files and row groups of other chunks are never read where the table is
+    ordered by key. The result doesn't depend on it: rows without a key are in no chunk
+    and are always evaluated.
     """
-    bits = signed(required_bits(matcher))
-    if bits:
-        live = summary.where(F.col("summary").bitwiseAND(F.lit(bits)) == bits).select(F.col("chunk_id").alias("_chunk"))
-        df = df.join(live, F.expr(f"`{key}` div {chunk}") == F.col("_chunk"), "left_semi")
-    return execute(df, matcher)
+    ranges = live_ranges(summary, required_bits(simplify(push_not(matcher))), chunk)
+    if ranges is not None:
+        within = F.col(key).isNull()
+        for low, high in ranges:
+            within = within | ((F.col(key) >= low) & (F.col(key) < high))
+        df = df.where(within)
+    return execute(df, matcher, strict_ieee)
 
 
 def semi_join(target: DataFrame, query: Matcher, fk_field: str, target_key: str = "id") -> In:

@@ -44,3 +44,15 @@ def any_set(a: DataFrame) -> bool:
 def summary(a: DataFrame) -> DataFrame:
     """n and any_set in one row."""
     return a.agg(F.count("*").alias("n"), (F.count("*") > 0).alias("any_set"))
+
+
+def num_words(universe: int) -> int:
+    """64-bit words that hold a set of keys below universe as bits."""
+    return -(-universe // 64)
+
+
+def words(a: DataFrame) -> DataFrame:
+    """word and bits: the set as 64-bit words, those without a key left out; the form in which sets of dense keys are small."""
+    key = F.col(a.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+    return a.where(key >= 0).groupBy(F.expr(f"`{a.columns[0]}` div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))

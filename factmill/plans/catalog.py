@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.functions.predicates import Always, And, Eq, Ge, In, Lt, Matcher, Ne, Never, Not, Or, Prefix, one_of, simplify, to_dnf
+from factmill.functions.predicates import Always, And, Eq, Ge, HasTags, In, Kernel, Lt, Matcher, Ne, Never, Not, Or, Prefix, one_of, simplify, to_dnf
 from factmill.operators import sets
+from factmill.operators.baseline import execute_objects
 from factmill.operators.closure import descendants
-from factmill.operators.execute import aggregate_frame, execute, execute_mask, execute_skipping, semi_join
+from factmill.operators.execute import aggregate_frame, execute, execute_mask, execute_out, execute_skipping, semi_join
 from factmill.plans.datalog import Atom, Const, Program
 from factmill.sources.checkpoints import shared_folder
-from factmill.sources.tables import chunk_summary, read, tag_bit
+from factmill.sources.tables import add_column, add_strings, as_entities, chunk_summaries_empty, chunk_summary, dictionary, entity_table, num_chunks, prefix_codes, read, set_tag, set_tags, store_chunked, tag_bit
 from factmill.streaming.incremental import HighWaterFilter, streaming_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,9 +112,13 @@ def q18_chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("q19_chunk_skip", f"SELECT id FROM {_TAGGED} WHERE mask = 7 OR (mask = 3 AND p_size >= 30)")
 def q19_chunk_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = _tagged(spark, sf_dir)
-    m = Eq("mask", 7) | (Eq("mask", 3) & Ge("p_size", 30))
-    return execute_skipping(tagged, m, chunk_summary(tagged, CHUNK), CHUNK).select("id")
+    rows, summary = store_chunked(_tagged(spark, sf_dir), f"{shared_folder(spark)}/chunked-{uuid.uuid4().hex}", CHUNK)
+    return skip_query(rows, summary).select("id")
+
+
+def skip_query(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """The skipping query over a stored table."""
+    return execute_skipping(rows, Eq("mask", 7) | (Eq("mask", 3) & Ge("p_size", 30)), summary, CHUNK)
 
 
 def _orders_of(name: str, customers: Matcher, inner: str, *, fk: str = "o_custkey", also: Matcher | None = None, outer: str = "") -> None:
@@ -346,3 +353,193 @@ def q50_mask_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("q51_popcount_any", "SELECT CAST(count(*) AS BIGINT) AS n, count(*) > 0 AS any_set FROM orders WHERE o_orderstatus = 'F'")
 def q51_popcount_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.summary(execute(read(spark, sf_dir, "orders"), Eq("o_orderstatus", "F")).select("o_orderkey"))
+
+
+# bodies and loops of unusual shapes
+
+
+@_query(
+    "q52_unlinked_atoms",
+    "SELECT c_custkey AS v FROM customer WHERE c_acctbal < 0 AND EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7)",
+)
+def q52_unlinked_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two atoms that share a variable with each other, but none with the head's."""
+    program = _program(spark, sf_dir).add_idb("r")
+    program.rule("r", ["X"], Atom("customer", "X"), Atom("line", "O", "S"), Atom("next", "O", Const(7)), filter=Lt("c_acctbal", 0))
+    return program.evaluate().result("r")
+
+
+@_query("q53_recursive_guard", "SELECT DISTINCT o_custkey AS v FROM orders")
+def q53_recursive_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recursive rule whose other atom doesn't hold the recursive variable: it holds as soon as there is a start."""
+    program = _program(spark, sf_dir).add_idb("r").rule("r", ["X"], Atom("next", "D", "X"), filter=Lt("o_orderkey", 1))
+    return program.rule("r", ["X"], Atom("r", "Y"), Atom("next", "Z", "X")).evaluate().result("r")
+
+
+_TAG63 = "SELECT p_partkey AS id FROM part WHERE p_size >= 25"
+
+
+@_query("q54_tag63", f"{_TAG63} AND p_type = 'ECONOMY'")
+def q54_tag63(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag 63 is the sign bit of Spark's longs; words compare as unsigned all the same."""
+    part = read(spark, sf_dir, "part")
+    own = [F.when(c, F.lit(tag_bit(t))).otherwise(F.lit(0)) for t, c in ((63, F.col("p_size") >= 25), (0, F.col("p_type") == "ECONOMY"))]
+    tagged = part.select(F.col("p_partkey").alias("id"), own[0].bitwiseOR(own[1]).alias("mask"))
+    m = Eq("mask", (1 << 63) + 1) & Ge("mask", 1 << 63) & ~Lt("mask", 2)
+    return execute_skipping(tagged, m, chunk_summary(tagged, CHUNK), CHUNK).select("id")
+
+
+# tables of entities
+
+
+@_query("q55_entity_table", "SELECT range AS id, CAST(0 AS BIGINT) AS mask, CAST(7 AS BIGINT) AS level, CAST(25.5 AS FLOAT) AS health, CAST(3 AS TINYINT) AS status FROM range(1000)")
+def q55_entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = add_column(entity_table(spark, 1000), "level", "u32", 7)
+    return add_column(add_column(table, "health", "float", 25.5), "status", "byte", 3)
+
+
+@_query("q56_set_tag", "SELECT c_custkey AS id, CAST((CASE WHEN c_custkey = 42 THEN 8 ELSE 0 END) + (CASE WHEN c_custkey = 43 THEN 2 ELSE 0 END) AS BIGINT) AS mask FROM customer")
+def q56_set_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = as_entities(read(spark, sf_dir, "customer"), "c_custkey")
+    return set_tag(set_tag(set_tag(table, 42, 3), 43, 65), 42, 3).select("id", "mask")
+
+
+_BUYERS = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 400000)"
+
+
+@_query("q57_set_tags", f"SELECT c_custkey AS id, CAST((CASE WHEN {_BUYERS} THEN 4 ELSE 0 END) + (CASE WHEN c_custkey IN (1, 2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS mask FROM customer")
+def q57_set_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = as_entities(read(spark, sf_dir, "customer"), "c_custkey")
+    buyers = execute(read(spark, sf_dir, "orders"), Ge("o_totalprice", 400000)).select("o_custkey")
+    return set_tags(set_tags(table, buyers, 2), [1, 2, 3, 3], 0).select("id", "mask")
+
+
+@_query("q58_chunks", f"SELECT CAST(ceil(count(*) / {CHUNK}.0) AS BIGINT) AS n, false AS missing, true AS absent FROM customer")
+def q58_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = as_entities(read(spark, sf_dir, "customer"), "c_custkey")
+    row = (num_chunks(table, CHUNK), chunk_summaries_empty(chunk_summary(table, CHUNK)), chunk_summaries_empty(None))
+    return spark.createDataFrame([row], "n long, missing boolean, absent boolean")
+
+
+@_query("q59_strings", "SELECT n_nationkey + 10 AS id, 'path/' || (n_nationkey % 4) AS path FROM nation")
+def q59_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text column by the order of keys that don't begin at 0."""
+    nation = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 10).alias("id"))
+    return add_strings(nation, "path", [f"path/{k % 4}" for k in range(nation.count())])
+
+
+@_query("q60_dictionary", "SELECT p_name AS p_name, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part)")
+def q60_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(read(spark, sf_dir, "part"), "p_name").select("p_name", "code")
+
+
+@_query(
+    "q61_prefix_codes",
+    "WITH d AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part)) "
+    "SELECT min(code) AS low, max(code) + 1 AS high FROM d WHERE starts_with(p_name, 'red')",
+)
+def q61_prefix_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_codes(dictionary(read(spark, sf_dir, "part"), "p_name"), "p_name", "red")
+
+
+@_query("q62_insert_contains", "SELECT DISTINCT o_custkey AS id, true AS found, false AS before FROM orders UNION SELECT -5, true, false")
+def q62_insert_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordering = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    grown = sets.insert(sets.insert(ordering, -5), 1)
+    return grown.select("id", F.lit(sets.contains(grown, -5)).alias("found"), F.lit(sets.contains(ordering, -5)).alias("before"))
+
+
+@_query("q63_words", "SELECT CAST(floor(c_custkey / 64.0) AS BIGINT) AS word, bit_or(CAST(c_custkey % 64 AS BIGINT)) AS low_bits, count(*) AS n, CAST((SELECT ceil(count(*) / 64.0) FROM customer) AS BIGINT) AS n_words FROM customer WHERE c_acctbal < 0 GROUP BY 1")
+def q63_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of keys as 64-bit words: each word's population, and the union of the places of its bits."""
+    customer = read(spark, sf_dir, "customer")
+    found = sets.words(execute(customer, Lt("c_acctbal", 0)).select("c_custkey"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)
+    union = F.aggregate(places, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(k.cast("long")))
+    return found.select("word", union.alias("low_bits"), F.bit_count("bits").cast("long").alias("n"), F.lit(sets.num_words(customer.count())).cast("long").alias("n_words"))
+
+
+@_query("q64_seed_universe", "SELECT o_custkey AS v FROM orders WHERE o_custkey < 100 UNION SELECT c_custkey FROM customer WHERE c_nationkey = 2 AND c_custkey < 100")
+def q64_seed_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values from outside beside those of rules; what lies beyond the universe is left out."""
+    program = _program(spark, sf_dir).add_idb("r", 100).rule("r", ["X"], Atom("next", "D", "X"))
+    program.seed("r", execute(read(spark, sf_dir, "customer"), Eq("c_nationkey", 2)).select("c_custkey"))
+    return program.evaluate().result("r")
+
+
+# leaves of the user's own
+
+
+@dataclass(frozen=True)
+class Multiple(Matcher):
+    """Keys that a number divides."""
+
+    field: str
+    of: int
+
+    def to_column(self, schema=None, strict_ieee=False):
+        return F.pmod(F.col(self.field), F.lit(self.of)) == 0
+
+    def implies_(self, other):
+        return isinstance(other, Multiple) and self.field == other.field and self.of % other.of == 0
+
+
+_filter("q65_own_leaf", "customer", "c_custkey", simplify(Or(Multiple("c_custkey", 6), Multiple("c_custkey", 3), Multiple("c_custkey", 12))) & ~Multiple("c_custkey", 2), "c_custkey % 3 = 0 AND c_custkey % 2 <> 0")
+_filter("q66_kernel", "customer", "c_custkey", Kernel(("c_acctbal", "c_nationkey"), lambda a, b: a < b * 100) & Ge("c_nationkey", 5), "c_acctbal < c_nationkey * 100 AND c_nationkey >= 5")
+
+
+@_query("q67_presence", "SELECT p_partkey AS id FROM part WHERE p_size >= 25 AND p_retailprice >= 950 AND p_size < 40")
+def q67_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that have components, told by a flag column and by tag bits, under a condition."""
+    tagged = _tagged(spark, sf_dir).withColumn("has", F.expr("int(mask & 1)"))
+    return execute(tagged, Eq("has", 1) & HasTags(2) & Lt("p_size", 40)).select("id")
+
+
+@_query("q68_empty_aggregates", "SELECT op, CAST(0 AS DOUBLE) AS v FROM (VALUES ('sum'), ('max'), ('min'), ('mean'), ('count')) AS t(op)")
+def q68_empty_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer")
+    each = [aggregate_frame(customer, Eq("c_nationkey", 999), "c_acctbal", op).select(F.lit(op).alias("op"), "v") for op in ("sum", "max", "min", "mean", "count")]
+    return reduce(DataFrame.union, each)
+
+
+@_query("q69_execute_out", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'")
+def q69_execute_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results into a table of the caller's, which a second call overwrites."""
+    sink = f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    execute_out(orders, Eq("o_orderstatus", "F"), sink)
+    return execute_out(orders, Eq("o_orderstatus", "P"), sink).select("id")
+
+
+@_query("q70_objects", "SELECT c_custkey AS id FROM customer WHERE c_nationkey = 2 AND c_acctbal >= 0")
+def q70_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of the bench: a Python function called for each row."""
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return execute_objects(customer, lambda c: c.c_nationkey == 2 and c.c_acctbal >= 0).select(F.col("c_custkey").alias("id"))
+
+
+@_query(
+    "q71_repeated_keys",
+    "WITH RECURSIVE h AS (SELECT l_orderkey AS id, l_suppkey AS pid FROM lineitem), r(id) AS (SELECT id FROM h WHERE id < 3 UNION SELECT h.id FROM h JOIN r ON h.pid = r.id) SELECT id FROM r",
+)
+def q71_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closure over a table in which a key comes several times, with other pointers."""
+    return descendants(read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as id", "l_suppkey as pid"), Lt("id", 3), "pid")
+
+
+# the reference's own benchmark shapes, whose size the tables don't set
+
+
+@_query("q72_long_chain", "SELECT range AS id FROM range(1000)")
+def q72_long_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of 1000 among 100,000 rows that point nowhere."""
+    chain = spark.range(100_000).selectExpr("id", "case when id between 1 and 999 then id - 1 else 999999999 end as pid")
+    return descendants(chain, Eq("id", 0), "pid")
+
+
+@_query("q73_complete_graph", "SELECT range AS v FROM range(32)")
+def q73_complete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = spark.range(32)
+    edges = nodes.selectExpr("id as src", "explode(sequence(0, 31)) as dst").where("src <> dst")
+    program = Program(spark).add_edb("edge", edges, ["src", "dst"]).add_idb("reach").rule("reach", ["X"], Atom("edge", "X", "D"), filter=Eq("src", 0))
+    return program.rule("reach", ["X"], Atom("reach", "Y"), Atom("edge", "Y", "X")).evaluate().result("reach")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from factmill.functions.predicates import Matcher
 from factmill.operators.closure import reach
 from factmill.operators.execute import execute
-from factmill.sources.checkpoints import cut, cut_union
+from factmill.sources.checkpoints import cut, cut_union, release
 
 
 @dataclass(frozen=True)
@@ -185,36 +185,63 @@ class Program:
         for k, a in enumerate(r.body):
             own = relations | {a.relation: frames[k]} if frames[k] is not None else relations
             parts.append((a, self._atom(r, k, own)))
-        positive = [(a, df) for a, df in parts if not a.negated]
-        if not positive:
+        groups = self._groups(r)
+        home = next((g for g in groups if r.head_var in g), None)
+        if home is None:
             out = self.spark.range(self.derived[r.head].universe).toDF(f"_{r.head_var}")
+            home = {r.head_var}
         else:
-            start = next((i for i, (a, _) in enumerate(positive) if r.head_var in a.names and len(a.names) > 1), None)
-            start = next((i for i, (a, _) in enumerate(positive) if r.head_var in a.names), 0) if start is None else start
-            _, out = positive.pop(start)
+            out = self._joined(r, home, parts)
+        for g in groups:
+            if g is not home:
+                # unrelated atoms: it only matters whether any row satisfies them together
+                some = self._joined(r, g, parts).limit(1).select(F.lit(True).alias("_some"))
+                out = out.join(some, F.col("_some"), "left_semi")
+        for a, df in parts:
+            if not a.names:
+                out = out.join(df.limit(1).select(F.lit(True).alias("_some")), F.col("_some"), "left_anti" if a.negated else "left_semi")
+            elif a.negated and not any(set(a.names) <= g for g in [*groups, home]):
+                raise ValueError(f"a negated atom of a rule for {r.head!r} ties unrelated atoms, which would be a cross product")
+            elif a.negated and home == {r.head_var} and home not in groups:
+                out = out.join(df, df.columns, "left_anti")
+        head = out.select(F.col(f"_{r.head_var}").cast("long").alias("v")).where("v is not null")
+        universe = self.derived[r.head].universe
+        return head if universe is None else head.where((F.col("v") >= 0) & (F.col("v") < universe))
+
+    @staticmethod
+    def _groups(r: Rule) -> list[set[str]]:
+        """The variables of the positive atoms, in sets that no atom joins to each other."""
+        groups: list[set[str]] = []
+        for a in r.body:
+            if not a.negated and a.names:
+                own = set(a.names)
+                for g in [g for g in groups if g & own]:
+                    own |= g
+                    groups.remove(g)
+                groups.append(own)
+        return groups
+
+    @staticmethod
+    def _joined(r: Rule, group: set[str], parts: list[tuple[Atom, DataFrame]]) -> DataFrame:
+        """The rows that satisfy all atoms over a set of variables, with the columns that the head may need."""
+        positive = [(a, df) for a, df in parts if not a.negated and set(a.names) & group]
+        negative = [(a, df) for a, df in parts if a.negated and a.names and set(a.names) <= group]
+        start = next((i for i, (a, _) in enumerate(positive) if r.head_var in a.names and len(a.names) > 1), None)
+        start = next((i for i, (a, _) in enumerate(positive) if r.head_var in a.names), 0) if start is None else start
+        _, out = positive.pop(start)
         while positive:
             shared = [[v for v in df.columns if v in out.columns] for _, df in positive]
             k = max(range(len(positive)), key=lambda i: len(shared[i]))
-            a, df = positive.pop(k)
+            _, df = positive.pop(k)
             on = shared[k]
-            later = {f"_{v}" for b, _ in positive for v in b.names} | {f"_{v}" for b, _ in parts if b.negated for v in b.names} | {f"_{r.head_var}"}
-            if not on and not (set(df.columns) & later):
-                out = out.join(df.limit(1).select(F.lit(True).alias("_some")), F.col("_some"), "left_semi")
-            elif set(df.columns) & later - set(out.columns):
-                needed = [c for c in df.columns if c in on or c in later]
-                right = df.select(*needed).distinct()
-                if not on:
-                    raise ValueError(f"a rule for {r.head!r} pairs unrelated atoms, which would be a cross product")
-                out = out.join(right, on)
+            later = {f"_{v}" for b, _ in [*positive, *negative] for v in b.names} | {f"_{r.head_var}"}
+            if set(df.columns) & later - set(out.columns):
+                out = out.join(df.select(*[c for c in df.columns if c in on or c in later]).distinct(), on)
             else:
                 out = out.join(df.select(*on), on, "left_semi")
-        for a, df in parts:
-            if a.negated:
-                on = [v for v in df.columns if v in out.columns]
-                out = out.join(df.select(*on), on, "left_anti") if on else out.join(df.limit(1).select(F.lit(True).alias("_some")), F.col("_some"), "left_anti")
-        head = out.select(F.col(f"_{r.head_var}").cast("long").alias("v")).where("v is not null")
-        universe = self.derived[r.head].universe
-        return head if universe is None else head.where((F.col("v") >= 0) & (F.col("v") < universe))
+        for _, df in negative:
+            out = out.join(df, df.columns, "left_anti")
+        return out
 
     def _start(self, name: str, rules: list[Rule], relations: dict[str, DataFrame]) -> DataFrame:
         """Seeds and rules outside any cycle."""
@@ -240,7 +267,7 @@ class Program:
                 return None
             source = own[0].names[0]
             step = r.body[others[0]]
-            if source == r.head_var or set(step.names) < {source, r.head_var}:
+            if source == r.head_var or not {source, r.head_var} <= set(step.names):
                 return None
             each = self._atom(r, others[0], relations).select(F.col(f"_{source}").alias("src"), F.col(f"_{r.head_var}").cast("long").alias("dst"))
             universe = self.derived[name].universe
@@ -277,8 +304,10 @@ class Program:
                         new = self._fire(r, done | total, (k, delta[a.relation]))
                         found[r.head] = found[r.head].union(new) if r.head in found else new
             empty = self.spark.createDataFrame([], "v long")
+            old = [t for n in found for t in (total[n], delta[n])]
             delta = {n: cut(found[n].distinct().join(total[n], "v", "left_anti")) if n in found else empty for n in group}
             total = {n: cut_union(total[n], delta[n]) if n in found else total[n] for n in group}
+            release(*old)
         return total
 
     def result(self, name: str) -> DataFrame:

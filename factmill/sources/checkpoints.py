@@ -5,14 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factmill-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factmill-"))
     return context.getCheckpointDir()
 
 
@@ -24,9 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """cut(df), and how many of its rows meet the condition, counted by the job that writes them."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.when(F.expr(condition), 1)).alias("n")))
+    return out, seen.get["n"]
 
 
 def cut_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Both sides' rows, cut, in as many files as a shuffle has partitions at most."""
     return cut(a.union(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes cut tables that nothing will read again, as loops do with the rounds before."""
+    for t in tables:
+        if (path := getattr(t, "_cut_path", None)) is not None:
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

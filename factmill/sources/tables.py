@@ -58,13 +58,17 @@ def add_column(df: DataFrame, name: str, kind: str, value: Any = 0) -> DataFrame
 
 
 def add_strings(df: DataFrame, name: str, values: list[str], key: str = "id") -> DataFrame:
-    """A text column from one value for each row, by key."""
+    """A text column from one value for each row, the rows in order of their key, which is unique."""
     if name in df.columns:
         raise ValueError(f"there is a column {name!r} already")
     if df.count() != len(values):
         raise ValueError("there must be one value for each row")
-    own = df.sparkSession.createDataFrame(list(enumerate(values)), f"{key} long, {name} string")
-    return df.join(own, key)
+    keys = df.select(F.col(key).alias("_key"))
+    if keys.where("_key is not null").distinct().count() != len(values):
+        raise ValueError(f"{key!r} must hold a value of its own in each row")
+    own = df.sparkSession.createDataFrame(list(enumerate(values)), f"id long, {name} string")
+    by_key = numbered(keys, "_key").join(own, "id").select("_key", name)
+    return df.join(by_key, df[key] == by_key["_key"]).drop("_key")
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
@@ -100,6 +104,25 @@ def num_chunks(df: DataFrame, chunk: int = CHUNK) -> int:
     return -(-df.count() // chunk)
 
 
+def chunk_summaries_empty(summary: DataFrame | None) -> bool:
+    """Whether no chunk summary is at hand, so that nothing can be skipped."""
+    return summary is None or summary.isEmpty()
+
+
+def store_chunked(df: DataFrame, folder: str, chunk: int = CHUNK, key: str = "id", files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Writes df ordered by key, and its chunk summary, below folder; returns both as tables.
+
+    Keys are dealt out by range and sorted within files, so that Parquet's statistics tell
+    which files and row groups a range of keys can be in.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    dealt.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    chunk_summary(rows, chunk, key).write.mode("overwrite").parquet(f"{folder}/chunks")
+    return rows, spark.read.schema("chunk_id long, summary long").parquet(f"{folder}/chunks")
+
+
 def chunk_summary(df: DataFrame, chunk: int = CHUNK, key: str = "id") -> DataFrame:
     """chunk_id and summary, the union of the tag words of each run of `chunk` keys."""
-    return df.groupBy(F.expr(f"`{key}` div {chunk}").alias("chunk_id")).agg(F.bit_or("mask").alias("summary"))
+    return df.groupBy(F.expr(f"(`{key}` - pmod(`{key}`, {chunk}L)) div {chunk}").alias("chunk_id")).agg(F.bit_or("mask").alias("summary"))
