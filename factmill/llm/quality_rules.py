@@ -1,15 +1,23 @@
 """Quality rules whose limits adapt to each language and source. DataFrame operations only.
 
 Each document gets exact counts (words, symbols, repeated lines, repeated five-word
-windows) and integer measures in parts per ten thousand. For each language and source a
-quantile sketch of every measure is kept: counts by logarithmic-linear bins, 32 to each
-doubling, so a quantile is off by one part in 32 at most. The sketches merge by adding
-counts, which makes them plain partial aggregations, the same on every run and for any
-split of the rows. From their quartiles come the limits, which are then joined back.
+windows) and integer measures. For each language and source a quantile sketch of every
+measure is kept: counts by logarithmic-linear bins, 32 to each doubling, so a quantile is
+off by one part in 32 at most. The sketches merge by adding counts, which makes them
+plain partial aggregations, the same on every run and for any split of the rows.
+
+A limit lies as many spreads from its group's median as `spreads` says, a spread being the
+distance from the median to the tail quantile on that side. Quantiles of small groups are
+drawn towards those of all documents together: a group of n documents counts n, all
+documents together count SHRINK, so there is no size at which the rule changes. Limits
+are then joined back. A floor keeps a measure that is 0 in nearly every document of a
+group from rejecting a few stray characters.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -24,19 +32,28 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-#: A language and source with fewer documents takes the limits of all documents together.
-MIN_GROUP = 50
-#: Limits lie so many half-spreads from the median, and at least the measure's slack.
-SPREADS = 6
-#: Measure -> (side, slack): share of symbols, of capitals, of repeated lines, of words in
-#: repeated windows (all in 1/10000), and mean word length in 1/100 characters.
+#: How many documents the quantiles of all documents count for beside a group's own.
+SHRINK = 100
+
+
+class Rule(NamedTuple):
+    """Tail quantiles (percent), spreads from the median to a limit, and the least distance of the upper one."""
+
+    high: int
+    low: int | None
+    spreads: int
+    floor: int
+
+
+#: Shares of symbols, of capitals and of repeated lines in 1/10000, and mean word length in 1/100
+#: characters. Repeated windows are left to the base rule.
 MEASURES = {
-    "symbol_share": ("upper", 500),
-    "capital_share": ("upper", 2500),
-    "dup_line_share": ("upper", 5000),
-    "repeat_share": ("upper", 2000),
-    "word_length": ("both", 500),
+    "symbol_share": Rule(75, None, 4, 100),
+    "capital_share": Rule(98, None, 4, 0),
+    "dup_line_share": Rule(98, None, 3, 0),
+    "word_length": Rule(90, 10, 4, 0),
 }
+_PERCENTS = sorted({50} | {q for r in MEASURES.values() for q in (r.high, r.low) if q is not None})
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -93,7 +110,6 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_capitals", "word_chars").alias("capital_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"),
         share("word_chars", "n_words", 100).alias("word_length"),
     )
 
@@ -116,52 +132,59 @@ def merge(sketched: DataFrame, *keys: str) -> DataFrame:
     return sketched.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def limits(sketched: DataFrame, *keys: str) -> DataFrame:
-    """keys, group_n, and a lower and upper limit of every measure, one row to a group."""
+def quantiles(sketched: DataFrame, *keys: str) -> DataFrame:
+    """keys, measure, group_n and the quantiles p10 to p98 of every measure, one row to each of a group's measures."""
     group = Window.partitionBy(*keys, "measure")
     ranked = sketched.select(
         *keys, "measure", "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total")
     )
-    quartile = lambda q: F.min(F.when(F.expr(f"4 * upto >= {q} * total"), F.col("bin"))).alias(f"q{q}")
-    quartiles = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("group_n"), *map(quartile, (1, 2, 3)))
-    slack = F.create_map(*[x for m, (_, s) in MEASURES.items() for x in (F.lit(m), F.lit(s))])[F.col("measure")]
-    sided = quartiles.select(
-        *keys, "measure", "group_n",
-        F.expr("q2").alias("median"),
-        (F.col("q2") + F.greatest(SPREADS * (F.col("q2") - F.col("q1")), slack)).alias("upper"),
-        (F.col("q2") - F.greatest(SPREADS * (F.col("q3") - F.col("q2")), slack)).alias("lower"),
-    )
-    wide = [F.max(F.when(F.col("measure") == m, F.col("upper"))).alias(f"{m}_upper") for m in MEASURES]
-    wide += [F.max(F.when(F.col("measure") == m, F.col("lower"))).alias(f"{m}_lower") for m, (side, _) in MEASURES.items() if side == "both"]
-    return sided.groupBy(*keys).agg(F.max("group_n").alias("group_n"), *wide)
+    picked = [F.min(F.when(F.expr(f"100 * upto >= {p} * total"), F.col("bin"))).alias(f"p{p}") for p in _PERCENTS]
+    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("group_n"), *picked)
+
+
+def limits(sketched: DataFrame) -> DataFrame:
+    """lang, source, and a lower and upper limit of every measure, one row to a group."""
+    own = quantiles(sketched, "lang", "source")
+    pooled = quantiles(merge(sketched)).select("measure", *[F.col(f"p{p}").alias(f"all_p{p}") for p in _PERCENTS])
+    # broadcast: one row to each measure
+    both = own.join(F.broadcast(pooled), "measure")
+    drawn = both.select("lang", "source", "measure", *[F.expr(f"(group_n * p{p} + {SHRINK} * all_p{p}) div (group_n + {SHRINK})").alias(f"p{p}") for p in _PERCENTS])
+    wide = []
+    for m, r in MEASURES.items():
+        of = lambda e, m=m: F.max(F.when(F.col("measure") == m, F.expr(e)))
+        wide.append(of(f"p50 + greatest({r.spreads} * (p{r.high} - p50), {r.floor}) + p50 div 32 + 1").alias(f"{m}_upper"))
+        if r.low is not None:
+            wide.append(of(f"p50 - {r.spreads} * (p50 - p{r.low}) - p50 div 32 - 1").alias(f"{m}_lower"))
+    return drawn.groupBy("lang", "source").agg(*wide)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of docs: its counts and measures, base_failed, and kept.
 
-    kept is false if a base rule fails or a measure lies beyond its group's limits. Null
-    texts count as empty and fail for want of words; a null language or source counts as
-    an empty name; repeated rows each get their row; other columns are ignored; an empty
-    table gives no rows.
+    kept is false if a base rule fails or a measure lies beyond its group's limits; a
+    measure that equals its limit is within it. Null texts count as empty and fail for
+    want of words; a null language or source counts as an empty name; repeated rows each
+    get their row; other columns are ignored; an empty table gives no rows.
     """
     measured = cut(measures(docs, id_col, text_col, lang_col, source_col))
-    sketched = cut(sketches(measured))
-    own = limits(sketched, "lang", "source").where(F.col("group_n") >= MIN_GROUP)
-    pooled = limits(merge(sketched.withColumn("all_docs", F.lit(True)), "all_docs"), "all_docs")
-    names = [c for c in own.columns if c not in ("lang", "source", "group_n")]
-    # the pooled limits are one row, or none where no document passes the base rules
-    everywhere = F.broadcast(pooled.select(F.struct(*names).alias("pooled"), F.lit(True).alias("one")))
-    joined = measured.join(own.select("lang", "source", F.struct(*names).alias("own")), ["lang", "source"], "left")
-    joined = joined.withColumn("one", F.lit(True)).join(everywhere, "one", "left").withColumn("limit", F.coalesce("own", "pooled"))
+    joined = measured.join(limits(cut(sketches(measured))), ["lang", "source"], "left")
     beyond = F.lit(False)
-    for m, (side, _) in MEASURES.items():
-        beyond = beyond | (F.col(m) > F.col(f"limit.{m}_upper"))
-        if side == "both":
-            beyond = beyond | (F.col(m) < F.col(f"limit.{m}_lower"))
+    for m, r in MEASURES.items():
+        beyond = beyond | (F.col(m) > F.col(f"{m}_upper"))
+        if r.low is not None:
+            beyond = beyond | (F.col(m) < F.col(f"{m}_lower"))
     kept = ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))
     return joined.select(*measured.columns, kept.alias("kept"))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns; rows of one doc_id and text are kept or go together."""
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    named = judge(docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h"))), "_key")
+    kept = named.where("kept").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_own")).distinct()
+    return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_hash"] == kept["_own"]), "left_semi").select(*docs.columns)
+
+
 def oracle_sql() -> str:
     """DuckDB SQL for the query's rows, from the same parameters."""
     blank = "[ \\t-\\r]"
@@ -169,28 +192,23 @@ def oracle_sql() -> str:
         "symbol_share": "n_symbols * 10000 // greatest(word_chars, 1)",
         "capital_share": "n_capitals * 10000 // greatest(word_chars, 1)",
         "dup_line_share": "n_dup_lines * 10000 // greatest(n_lines, 1)",
-        "repeat_share": "n_repeat_words * 10000 // greatest(n_words, 1)",
         "word_length": "word_chars * 100 // greatest(n_words, 1)",
     }
     longs = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM measured WHERE NOT base_failed" for m in MEASURES)
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (_, s) in MEASURES.items()) + " END"
-    wide = ", ".join(
-        f"max(upper) FILTER (measure = '{m}') AS {m}_u, max(lower) FILTER (measure = '{m}') AS {m}_l" for m in MEASURES
-    )
-    over = " OR ".join(
-        f"m.{m} > coalesce(o.{m}_u, p.{m}_u)" + (f" OR m.{m} < coalesce(o.{m}_l, p.{m}_l)" if side == "both" else "")
-        for m, (side, _) in MEASURES.items()
-    )
-
-    def limited(name: str, keys: str, source: str) -> str:
-        by = f"{keys}, measure" if keys else "measure"
-        pick = f"{keys}, " if keys else ""
+    picked = ", ".join(f"min(bin) FILTER (100 * upto >= {p} * total) AS p{p}" for p in _PERCENTS)
+    drawn = ", ".join(f"CAST((o.group_n * o.p{p} + {SHRINK} * a.p{p}) // (o.group_n + {SHRINK}) AS BIGINT) AS p{p}" for p in _PERCENTS)
+    wide, over = [], []
+    for m, r in MEASURES.items():
+        wide.append(f"max(p50 + greatest({r.spreads} * (p{r.high} - p50), {r.floor}) + p50 // 32 + 1) FILTER (measure = '{m}') AS {m}_u")
+        over.append(f"m.{m} > {m}_u")
+        if r.low is not None:
+            wide.append(f"max(p50 - {r.spreads} * (p50 - p{r.low}) - p50 // 32 - 1) FILTER (measure = '{m}') AS {m}_l")
+            over.append(f"m.{m} < {m}_l")
+
+    def ranked(name: str, by: str, source: str) -> str:
         return f"""
 {name}_ranked AS (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM {source}),
-{name}_q AS (SELECT {by}, max(total) AS group_n, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 2 * total) AS q2,
-  min(bin) FILTER (4 * upto >= 3 * total) AS q3 FROM {name}_ranked GROUP BY {by}),
-{name}_sided AS (SELECT {by}, group_n, q2 + greatest({SPREADS} * (q2 - q1), {slack}) AS upper, q2 - greatest({SPREADS} * (q3 - q2), {slack}) AS lower FROM {name}_q),
-{name} AS (SELECT {pick}max(group_n) AS group_n, {wide} FROM {name}_sided {"GROUP BY " + keys if keys else ""})"""
+{name} AS (SELECT {by}, max(total) AS group_n, {picked} FROM {name}_ranked GROUP BY {by})"""
 
     return f"""
 WITH base AS (
@@ -222,10 +240,12 @@ sketch AS (
   FROM (SELECT *, CAST(greatest(length(bin(CAST(v AS BIGINT))) - 6, 0) AS BIGINT) AS k FROM (SELECT lang, source, measure, CAST(v AS BIGINT) AS v FROM longs))
   GROUP BY ALL),
 merged AS (SELECT measure, bin, sum(n) AS n FROM sketch GROUP BY ALL),
-{limited("own", "lang, source", "sketch")},
-{limited("pooled", "", "merged")}
+{ranked("own", "lang, source, measure", "sketch")},
+{ranked("pooled", "measure", "merged")},
+drawn AS (SELECT lang, source, measure, {drawn} FROM own o JOIN pooled a USING (measure)),
+limits AS (SELECT lang, source, {", ".join(wide)} FROM drawn GROUP BY lang, source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce({over}, false) AS kept
-FROM measured m LEFT JOIN (SELECT * FROM own WHERE group_n >= {MIN_GROUP}) o ON m.lang = o.lang AND m.source = o.source CROSS JOIN pooled p
+  NOT base_failed AND NOT coalesce({" OR ".join(over)}, false) AS kept
+FROM measured m LEFT JOIN limits USING (lang, source)
 """

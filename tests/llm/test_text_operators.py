@@ -297,6 +297,39 @@ def test_adaptive_limits(docs):
     assert all(got[i]["kept"] for i in range(400)) and not any(got[1000 + i]["kept"] for i in range(20))
 
 
+def test_limits_follow_each_source(spark):
+    """What is usual in one source is beyond the limit in another, which no fixed cutoff could tell."""
+    rnd = random.Random(4)
+    word = lambda a, b: rnd.choice("abcdefgh") * rnd.randrange(a, b)
+    rows = []
+    for i in range(600):
+        code = i % 2 == 0
+        words = [word(3, 8) for _ in range(80)]
+        for _ in range(rnd.randrange(15, 40) if code else 0):
+            words[rnd.randrange(80)] = word(2, 4) + rnd.choice(["|&", "<>", "#$"])
+        rows.append((i, " ".join(words), "en", "code" if code else "prose"))
+    odd = " ".join([word(3, 8) for _ in range(64)] + [word(2, 4) + rnd.choice(["|&", "<>", "#$"]) for _ in range(16)])
+    rows += [(1000, odd, "en", "prose"), (1001, odd, "en", "code"), (1002, odd, "en", "rare"), (1003, "$%&# " * 3 + " ".join(word(3, 8) for _ in range(20)), "de", "rare")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality_rules.measures(frame)
+    got = by_id(quality_rules.judge(frame))
+    limit = {r["source"]: r["symbol_share_upper"] for r in quality_rules.limits(quality_rules.sketches(measured)).collect()}
+    assert limit["prose"] < by_id(measured)[1000]["symbol_share"] < limit["code"]
+    assert not got[1000]["kept"] and got[1001]["kept"] and all(got[i]["kept"] for i in range(600))
+    kept = quality_rules.keep_good(frame)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_small_groups_are_drawn_to_all(spark):
+    """Limits move smoothly with a group's size: alone it has the pooled quantiles nearly, and more and more its own."""
+    low = [(m, "en", "big", m, b, n) for m in quality_rules.MEASURES for b, n in ((0, 9000), (10, 1000))]
+    seen = []
+    for n in (1, 10, 49, 50, 51, 1000, 100_000):
+        sketch = spark.createDataFrame([(x[1], x[2], x[3], x[4], x[5]) for x in low] + [("en", "small", m, 5000, n) for m in quality_rules.MEASURES], "lang string, source string, measure string, bin long, n long")
+        seen.append(next(r["word_length_upper"] for r in quality_rules.limits(sketch).collect() if r["source"] == "small"))
+    assert seen == sorted(seen) and seen[0] < 300 and seen[-1] > 5000 and seen[4] - seen[2] < 100
+
+
 # 8, BPE
 
 
