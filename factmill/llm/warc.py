@@ -1,12 +1,18 @@
 """WARC archives from a chunked record table.
 
-Pages travel whole, as rows of their table: a task holds whole payloads (up to 64 at
-once) while it digests them and cuts them into chunks of bounded size. A chunk is one WARC record: the first
-a response (or a revisit, without payload, of an equal payload elsewhere), later ones
+Payloads are cut inside the JVM into rows of (record, chunk number, bytes) before anything
+else sees them. The rows of a record follow one another, so a SHA-1 state is carried from
+chunk to chunk and each row tells the bytes and the digest up to its end; the last one's
+are those of the payload. Which records are responses and which revisit them is decided on
+those last rows without their bytes. The stored chunk table then becomes archives: a chunk
+is one WARC record, the first a response (or a revisit without payload), later ones
 continuation segments as WARC/1.1 defines them. Spark's own text writer puts them into
 gzip files, so archives go wherever Spark can write and a lost task leaves none behind.
 Reading streams the lines of each file through a parser that never holds more than a
 chunk's line, and computes each record's digest anew from its segments.
+
+From the cut on nothing holds more than a batch of chunks; only the scan of the source
+table has a payload whole, as its reader returns values.
 """
 
 from __future__ import annotations
@@ -15,83 +21,107 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.sources.checkpoints import shared_folder
+from factmill.sources.checkpoints import cut as stored_table
+from factmill.sources.checkpoints import release, shared_folder
 
 from .common import cut
 
-#: Characters of payload in a chunk at most.
-CHUNK = 1 << 18
+#: Bytes of payload in a chunk at most, and chunks or lines that Python is given at once.
+CHUNK = 1 << 16
+BATCH = 256
 RECORD_END = "\r\n\r\n"
-_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def digest_text(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode("ascii")
 
 
-def digests(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """page_id, payload_bytes, payload_digest: of every row's whole payload in UTF-8, which is held whole."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, names = [], []
-            for value in batch.column(1):
-                view, sha = memoryview(value.as_buffer() or b"") if value.is_valid else memoryview(b""), hashlib.sha1()
-                for at in range(0, len(view), CHUNK):
-                    sha.update(view[at : at + CHUNK])
-                sizes.append(len(view))
-                names.append(digest_text(sha.digest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string())], names=["page_id", "payload_bytes", "payload_digest"])
-
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
-    return source.mapInArrow(each, "page_id long, payload_bytes long, payload_digest string")
-
-
-def _header(kind: str, fields: list[tuple[str, object]], payload: str) -> str:
-    size = len(payload.encode("utf-8"))
-    lines = [f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields if v is not None), f"Content-Length: {size}"]
-    return "WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n" + payload
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While this lasts, Arrow batches hold BATCH rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def chunk_rows(typed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """value: one WARC record to each chunk of each row's payload, in chunk order.
+def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """record, page_id, url, payload_bytes, chunk_no, n_chunks, data, upto, digest: the payloads in pieces of `chunk` bytes.
 
-    typed has row_key, page_id, url, html, payload_bytes, payload_digest and refers_to.
+    record numbers the rows; upto and digest are the count and the SHA-1 (base32) of the
+    record's bytes up to the piece's end. An empty or null payload is one empty piece.
     """
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    whole = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    size = F.octet_length("payload")
+    numbered = whole.select("*", size.cast("long").alias("payload_bytes"), F.greatest(F.ceil(size / chunk), F.lit(1)).cast("int").alias("n_chunks"))
+    pieces = numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
+    names = ["record", "page_id", "url", "payload_bytes", "chunk_no", "n_chunks", "data"]
+    pieces = pieces.withColumn("data", F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})")).select(*names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, upto = hashlib.sha1(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out: list[str] = []
-                for key, page, url, html, size, digest, refers in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    name = f"<urn:page:{key}>"
-                    target = None if url is None else " ".join(url.split())
-                    fields = [("WARC-Record-ID", name), ("WARC-Target-URI", target), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page), ("X-Payload-Length", size)]
-                    if refers is not None:
-                        out.append(_header("revisit", [*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers}>")], ""))
-                        continue
-                    pieces = range(0, max(1, len(html)), chunk)
-                    whole = len(pieces) == 1
-                    for k, a in enumerate(pieces, 1):
-                        segment = [] if whole else [("WARC-Segment-Number", k)]
-                        if k == 1:
-                            out.append(_header("response", [*fields, *segment], html[a : a + chunk]))
-                        else:
-                            last = [("WARC-Segment-Total-Length", size)] if k == len(pieces) else []
-                            out.append(_header("continuation", [("WARC-Record-ID", f"<urn:page:{key}:{k}>"), ("WARC-Segment-Origin-ID", name), *segment, *last], html[a : a + chunk]))
-                        if len(out) >= 16:
-                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                            out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    columns = ["row_key", "page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"]
-    return typed.select(*columns).mapInArrow(each, "value string")
+            sizes, digests = [], []
+            for number, data in zip(batch.column(4).to_pylist(), batch.column(6)):
+                if number == 0:
+                    state, upto = hashlib.sha1(), 0
+                piece = data.as_buffer()
+                state.update(piece)
+                upto += piece.size
+                sizes.append(upto)
+                digests.append(digest_text(state.digest()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=[*names, "upto", "digest"])
+
+    return pieces.mapInArrow(each, "record long, page_id long, url string, payload_bytes long, chunk_no int, n_chunks int, data binary, upto long, digest string")
+
+
+def kinds(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """record, payload_digest, refers_to, refers_record: of every record, from its last chunk's row alone."""
+    last = chunks.where("chunk_no = n_chunks - 1").select("record", "page_id", "payload_bytes", F.col("digest").alias("payload_digest"))
+    largest = last.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record")).alias("first"))
+    again = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    both = last.join(largest, ["payload_digest", "payload_bytes"])
+    return both.select("record", "payload_digest", F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.record")).alias("refers_record"))
+
+
+def records(chunks: DataFrame, kind: DataFrame) -> DataFrame:
+    """value: one WARC record for each chunk of the responses and one for each revisit, in order within a partition."""
+    both = chunks.join(kind.hint("shuffle_hash"), "record")
+    both = both.where("refers_record is null or chunk_no = 0").sortWithinPartitions("record", "chunk_no")
+    id_of = lambda page, record: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("none")), F.lit("/"), F.col(record).cast("string"))
+    own, revisit, first, part = id_of("page_id", "record"), F.col("refers_record").isNotNull(), F.col("chunk_no") == 0, F.col("n_chunks") > 1
+    data = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("data"))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    header = F.concat_ws(
+        "\r\n",
+        F.lit("WARC/1.1"),
+        line("WARC-Type", F.when(revisit, "revisit").when(first, "response").otherwise("continuation")),
+        line("WARC-Record-ID", F.concat(own, F.when(first, ">").otherwise(F.concat(F.lit("/"), (F.col("chunk_no") + 1).cast("string"), F.lit(">"))))),
+        line("WARC-Target-URI", F.regexp_replace(F.trim("url"), r"\s+", " ")),
+        F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        line("X-Page-Id", F.col("page_id")),
+        line("X-Payload-Length", F.col("payload_bytes")),
+        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.when(revisit, line("WARC-Refers-To", F.concat(id_of("refers_to", "refers_record"), F.lit(">")))),
+        F.when(part & ~revisit, line("WARC-Segment-Number", F.col("chunk_no") + 1)),
+        F.when(~first, line("WARC-Segment-Origin-ID", F.concat(own, F.lit(">")))),
+        F.when(part & ~revisit & (F.col("chunk_no") == F.col("n_chunks") - 1), line("WARC-Segment-Total-Length", F.col("payload_bytes"))),
+        line("Content-Length", F.octet_length(data)),
+    )
+    # the cast keeps the bytes as they are, also where a chunk ends within a character
+    return both.select(F.concat(header, F.lit(RECORD_END), data.cast("string")).alias("value"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, chunk: int = CHUNK) -> None:
@@ -100,29 +130,15 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, chunk: int = CHUN
     Of records with equal payloads of least_bytes or more, those with the largest page_id
     are responses and the others revisit it; smaller ones are all responses. Rows that
     share page_id and payload are both responses if theirs is the largest. A row without
-    a page_id is a response unless a row with one has its payload.
+    a page_id is a response unless a row with one has its payload. A null payload counts
+    as empty; further columns are ignored; an empty table gives no records. The chunk
+    table is stored beside the checkpoints while this runs, and deleted then.
     """
-    noted = cut(digests(pages).distinct())
-    largest = noted.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"))
-    refers = F.when((F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
-    kinds = noted.join(largest, ["payload_digest", "payload_bytes"]).select("page_id", "payload_digest", "payload_bytes", refers.alias("refers_to"))
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    # sha1 here only pairs each row with its own entry of kinds
-    rows = pages.select(F.col("page_id").cast("long").alias("own_id"), url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("hex"))
-    named = kinds.withColumn("own_hex", _hex_of("payload_digest"))
-    typed = rows.join(named, rows["own_id"].eqNullSafe(named["page_id"]) & (rows["hex"] == named["own_hex"]))
-    key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.col("payload_digest")))
-    chunk_rows(typed.withColumn("row_key", key), chunk).write.mode("overwrite").option("compression", "gzip").option("lineSep", RECORD_END).text(folder)
-
-
-def _hex_of(digest_col: str):
-    """The hexadecimal form of a base32 digest: each four letters are five hexadecimal digits."""
-    parts = []
-    for at in range(1, 33, 4):
-        letters = [f"(instr('{_B32}', substring({digest_col}, {at + k}, 1)) - 1) * {32 ** (3 - k)}" for k in range(4)]
-        parts.append(F.lower(F.lpad(F.hex(F.expr(" + ".join(letters))), 5, "0")))
-    return F.concat(*parts)
+    spark = pages.sparkSession
+    with small_batches(spark):
+        stored = stored_table(chunk_rows(pages, chunk))
+    records(stored, kinds(stored, least_bytes)).write.mode("overwrite").option("compression", "gzip").option("lineSep", RECORD_END).text(folder)
+    release(stored)
 
 
 class _Parser:
@@ -180,7 +196,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             kept = told["warc-payload-digest"].removeprefix("sha1:")
             page = int(told["x-page-id"]) if "x-page-id" in told else None
             if told["warc-type"] == "revisit":
-                refers = told["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")
+                refers = told["warc-refers-to"].removeprefix("<urn:page:").partition("/")[0]
                 return told["warc-record-id"], page, "revisit", int(told["x-payload-length"]), kept, int(refers) if refers.lstrip("-").isdigit() else None, True
             return told["warc-record-id"], page, "response", size, digest, None, digest == kept and size == int(told["x-payload-length"])
 
@@ -224,4 +240,19 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, folder, least_bytes)
-    return read(spark, folder)
+    with small_batches(spark):
+        return cut(read(spark, folder))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the query's rows: each five hexadecimal digits of a SHA-1 are four letters of base32."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (5 * (3 - k))) % 32 + 1 AS BIGINT), 1)"
+    return f"""
+WITH hexed AS (SELECT row_number() OVER () AS r, page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+digits AS (SELECT r, g, k, CAST('0x' || substr(hex, 5 * g + 1, 5) AS BIGINT) AS v FROM hexed, range(8) AS t(g), range(4) AS u(k)),
+named AS (SELECT r, string_agg({letter}, '' ORDER BY g, k) AS payload_digest FROM digits GROUP BY r),
+found AS (SELECT page_id, payload_bytes, payload_digest, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM hexed JOIN named USING (r))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM found
+"""

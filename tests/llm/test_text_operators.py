@@ -155,6 +155,21 @@ def test_warc(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_chunk_table(spark):
+    """Rows of (record, chunk number, bytes) with the digest carried on; a payload is never put together again."""
+    rows = [(1, "é" * 70_000), (2, ""), (3, None), (4, "x" * (1 << 22) + "end")]
+    chunks = warc.chunk_rows(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    for i, text in rows:
+        data = (text or "").encode()
+        own = sorted((r for r in chunks if r["page_id"] == i), key=lambda r: r["chunk_no"])
+        assert [r["chunk_no"] for r in own] == list(range(own[0]["n_chunks"])) and all(len(r["data"]) <= warc.CHUNK for r in own)
+        at = 0
+        for r in own:
+            at += len(r["data"])
+            assert r["upto"] == at and r["digest"] == base64.b32encode(hashlib.sha1(data[:at]).digest()).decode() and bytes(r["data"]) == data[at - len(r["data"]) : at]
+        assert at == len(data) == own[0]["payload_bytes"]
+
+
 # 5, personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
