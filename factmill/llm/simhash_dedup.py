@@ -1,24 +1,25 @@
 """SimHash near-duplicates by an inverted index over the bytes of a fingerprint.
 
-Two 64-bit fingerprints that differ in at most two bits differ in at most two of their
-eight bytes, so six positional bytes at least are shared: that is the guaranteed count.
-Lists under a single positional byte would each hold 1/256 of the corpus, and tallying
-them is quadratic. The postings here are therefore keyed by four positional bytes at a
-time, in six choices of which every qualifying pair shares one at least. Pairs that meet
-in a list get their shared positional bytes tallied; pairs that reach the guaranteed
-count are verified by their differing bits.
-
-Lists longer than `list_limit` are not expanded into pairs. Their members are linked
-exactly by midpoints: two fingerprints are within two bits of each other if and only if
-some fingerprint is within one bit of both, so each member posts itself and its 64
-neighbours, and all that post the same one are linked to the smallest of them. Both
-parts grow linearly with the rows, whatever the sizes of the groups.
+Two 64-bit fingerprints that differ in at most r bits differ in at most r of their eight
+bytes, so 8 - r positional bytes at least are shared: that is the guaranteed count. A list
+under a single positional byte holds 1/256 of the corpus, and tallying pairs in such lists
+is quadratic. The index therefore posts a fingerprint under each set of 8 - r positions
+with its bytes there: a pair meets in such a list if and only if its tally of shared bytes
+reaches the guaranteed count, so the count filter is the index itself. A pair that shares
+s bytes is met in as many lists as s bytes have sets of 8 - r, which gives its tally back.
+Pairs that meet are verified by their differing bits.
+
+A list can't hold more than 256^r distinct fingerprints (65,536 for two bits), however
+many documents there are, since equal fingerprints are one before they are posted. Before
+that, a cheaper index drops what meets nobody: of r + 2 equal stretches of bits a pair
+shares two at least, so a fingerprint that is alone under each pair of stretches is done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import connected_components, cut
 
 SHINGLE = 3
 SEED = 42
-LIST_LIMIT = 32
+MAX_BITS = 2
 _STEP = 1 << 16
 
 
@@ -52,78 +53,77 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): fp holds the fingerprint's bits as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64)
+            bits = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(each, "id long, fp long")
 
 
-def _block(fp: Column, k: int) -> Column:
-    """Positional bytes 2k and 2k + 1, counted from the low end."""
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))
+def _keys(fp: Column, pieces: list[tuple[int, int]], most: int) -> Column:
+    """All choices of `most` pieces (low bit, width) of a fingerprint, each packed into one long with its choice's number."""
+    keys = []
+    for k, chosen in enumerate(combinations(pieces, most)):
+        key, at = F.lit(k).cast("long"), 0
+        key = F.shiftleft(key, sum(w for _, w in chosen))
+        for low, width in chosen:
+            piece = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+            key, at = key.bitwiseOR(F.shiftleft(piece, at)), at + width
+        keys.append(key)
+    return F.array(*keys)
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    differing = a.bitwiseXOR(b)
-    return sum((F.shiftrightunsigned(differing, 8 * k).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for k in range(8))
+def _meeting(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp): fingerprints that share two of max_bits + 2 stretches of bits with another one."""
+    ends = [64 * k // (max_bits + 2) for k in range(max_bits + 3)]
+    stretches = [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    posted = fps.select("fp", F.explode(_keys(F.col("fp"), stretches, 2)).alias("key"))
+    crowded = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return posted.join(crowded, "key", "left_semi").select("fp").distinct()
 
 
-def links(distinct_fp: DataFrame, max_bits: int = 2, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """(a, b) edges whose components are those of the fingerprints within max_bits (2) of each other."""
-    if max_bits != 2:
-        raise ValueError("the guaranteed counts and midpoints here are those of two differing bits")
-    fp = F.col("fp")
-    keys = [
-        F.lit(k << 32) + F.shiftleft(_block(fp, i), 16) + _block(fp, j)
-        for k, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    postings = distinct_fp.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(postings.join(sizes, "key").select("key", "fp", "n"))
+def links(distinct_fp: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b, shared, bits): every pair of fingerprints within max_bits (1 to 3) of each other, a < b.
 
-    short = shared.where(F.col("n") <= list_limit).select("key", "fp")
-    pairs = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    tallied = pairs.groupBy("a", "b").agg(F.count("*").alias("lists")).withColumn("shared", _shared_bytes(F.col("a"), F.col("b")))
-    near = tallied.where(F.col("shared") >= 8 - max_bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-
-    crowd = shared.where(F.col("n") > list_limit).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
-    posted = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", fp.bitwiseXOR(F.col("flip")).alias("mid"))
-    hubs = posted.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("mid", "a")
-    around = posted.join(hubs, "mid").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    return near.select("a", "b").union(around)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_limit: int = LIST_LIMIT) -> DataFrame:
+    shared is its tally of positional bytes, bits its differing bits.
+    """
+    if not 1 <= max_bits <= 3:
+        raise ValueError("the index guarantees shared bytes for 1 to 3 differing bits")
+    guaranteed = 8 - max_bits
+    fps = cut(_meeting(distinct_fp.select("fp"), max_bits))
+    posted = fps.select("fp", F.explode(_keys(F.col("fp"), [(8 * k, 8) for k in range(8)], guaranteed)).alias("key"))
+    # at most 256^max_bits distinct fingerprints to a list
+    lists = posted.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where("size(fps) > 1").select("fps")
+    partners = F.transform(
+        "fps",
+        lambda a, i: F.struct(a.alias("a"), F.filter(F.slice("fps", i + 2, F.size("fps")), lambda b: F.bit_count(a.bitwiseXOR(b)) <= max_bits).alias("b")),
+    )
+    near = lists.select(F.explode(partners).alias("x")).select(F.col("x.a").alias("a"), F.explode("x.b").alias("b"))
+    # a pair with one byte more than guaranteed is met in guaranteed + 1 lists, and so on
+    tallies = F.create_map(*[F.lit(x) for t in range(guaranteed, 8) for x in (comb(t, guaranteed), t)])
+    met = near.groupBy("a", "b").agg(F.count("*").cast("int").alias("lists"))
+    return met.select("a", "b", tallies[F.col("lists")].alias("shared"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id, fp (signed long), fingerprint (hex), component_id.
 
     component_id is the smallest identifier among all rows reachable over links of at
-    most two differing bits, equal fingerprints included. Null or empty texts and texts
-    without words have fingerprint zero and link like any other. Rows without an
+    most max_bits differing bits, equal fingerprints included. Null or empty texts and
+    texts without words have fingerprint zero and link like any other. Rows without an
     identifier get the component of their fingerprint (null where no row of it has one);
     repeated rows each get their row. An empty table gives no rows, and further columns
     of docs are ignored.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least_id")))
-    component = connected_components(links(distinct.select("fp"), list_limit=list_limit)).withColumnsRenamed({"node": "fp", "component": "root"})
+    component = connected_components(links(distinct, max_bits)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = distinct.join(component, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents but for near copies: of each component the row of the smallest doc_id stays.
-
-    Of repeated rows of that doc_id one stays; rows without a doc_id all stay.
-    """
-    own = cut(near_duplicates(docs).where("id is null or id = component_id").select("id").distinct())
-    known = docs.join(own.where("id is not null"), docs["doc_id"] == own["id"], "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.where("doc_id is null"))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -55,14 +56,29 @@ def test_simhash(docs):
         if i is not None:
             least[want[prints[t]]] = min(i, least.get(want[prints[t]], i))
     expected = sorted((-1 if i is None else i, f"{prints[t]:016x}", least.get(want[prints[t]])) for i, t in rows)
-    for limit in (1, 32):
-        found = simhash_dedup.near_duplicates(docs(*rows), list_limit=limit)
-        assert sorted((-1 if r["id"] is None else r["id"], r["fingerprint"], r["component_id"]) for r in found.collect()) == expected
-    kept = simhash_dedup.keep_one(docs(*rows))
-    assert kept.columns == docs(*rows).columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(least.values()))
-    assert kept.where("doc_id is null").count() == 2
-    assert simhash_dedup.near_duplicates(docs()).count() == 0 and simhash_dedup.keep_one(docs()).count() == 0
+    found = simhash_dedup.near_duplicates(docs(*rows))
+    assert sorted((-1 if r["id"] is None else r["id"], r["fingerprint"], r["component_id"]) for r in found.collect()) == expected
+    assert simhash_dedup.near_duplicates(docs()).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_byte_index(spark, bits):
+    """Every pair within the radius, with its tally of shared bytes, and no other; lists of thousands under common bytes."""
+    rnd = random.Random(bits)
+    flip = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(64), n))
+    center = rnd.getrandbits(64)
+    fps = {center, 0, 1, 3, (1 << 64) - 1, 1 << 63} | {rnd.getrandbits(64) for _ in range(300)}
+    fps |= {flip(center, rnd.randrange(1, 5)) for _ in range(200)} | {(center & ~0xFFFF) | rnd.getrandbits(16) for _ in range(100)}
+    fps = sorted(fps)
+    want = {}
+    for i, x in enumerate(fps):
+        for y in fps[i + 1 :]:
+            if (d := (x ^ y).bit_count()) <= bits:
+                want[frozenset((x, y))] = (sum((x ^ y) >> 8 * k & 255 == 0 for k in range(8)), d)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    got = simhash_dedup.links(spark.createDataFrame(signed, "fp long"), bits).collect()
+    assert len(got) == len(want) > 50 and {frozenset((r["a"] % (1 << 64), r["b"] % (1 << 64))): (r["shared"], r["bits"]) for r in got} == want
+    assert all(shared >= 8 - bits for shared, _ in want.values())
 
 
 def test_embeddings(spark):
