@@ -1,21 +1,27 @@
 """License scans by diagonal voting.
 
-Hashes of all five-word windows of the documents are joined to the positions at which
-they stand in license templates. A match votes for its diagonal, the offset between the
-two places; neighbouring diagonals merge, which bridges words put in or left out. A
-merged run is a license span if it covers enough of the template's windows and isn't
-longer than the template allows. The join's small side is the fixed template table; its
-large side is neither shuffled nor kept, and only matches go on.
-
+Every five-word window of a document is hashed; windows whose hash is that of a template's
+window are joined to the place where it stands there, and their words compared. A match
+votes for its diagonal, the offset between the two places. In order of the document, votes
+on the same or a neighbouring diagonal merge into a span as long as the place in the
+template moves on: words put in or left out move the diagonal a little, while a notice
+that begins anew falls back and is a span of its own. A span is verified if it covers
+enough of the template's windows, in their order, and isn't longer than the template
+allows; of verified spans that overlap, that of the best covered template counts.
+
+Texts are split into words once. What leaves that pass is a few numbers for each document,
+and the matching windows; windows that match nothing are dropped where they are made.
 Beside it, fixed phrases are found wherever their words stand consecutively.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 GRAM = 5
 #: Diagonals this far apart still merge; a span covers this share of its template's windows
@@ -57,71 +63,87 @@ def template_words(text: str) -> list[str]:
     return re.sub(_GAPS, " ", "".join(c.lower() if c.isascii() else c for c in text)).split()
 
 
-def _grams(w: Column) -> Column:
-    """Hashes of all windows of GRAM words."""
-    places = F.sequence(F.lit(0), F.size(w) - GRAM)
-    return F.when(F.size(w) >= GRAM, F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)])))
+def template_table(spark: SparkSession) -> DataFrame:
+    """template, label, n_grams, n_words, at, gram, words: one row to each window of each template."""
+    rows = []
+    for t, (label, text) in enumerate(TEMPLATES):
+        w = template_words(text)
+        rows += [(t, label, len(w) - GRAM + 1, len(w), at, w[at : at + GRAM]) for at in range(len(w) - GRAM + 1)]
+    table = spark.createDataFrame(rows, "template int, label string, n_grams int, n_words int, at int, words array<string>")
+    return table.withColumn("gram", _gram(F.col("words"), F.lit(0)))
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    """template, label, n_grams, n_words, at, gram: one row to each window of each template."""
-    rows = [(t, label, w) for t, (label, text) in enumerate(TEMPLATES) if (w := template_words(text))]
-    table = spark.createDataFrame(rows, "template int, label string, words array<string>")
-    return table.select(
-        "template", "label", (F.size("words") - GRAM + 1).alias("n_grams"), F.size("words").alias("n_words"), F.posexplode(_grams(F.col("words"))).alias("at", "gram")
-    )
+def _gram(w: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)])
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, template, label, start, end (words, end exclusive), coverage of every license span."""
-    spark = docs.sparkSession
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, n_words, places (of the phrases), hits: one row per row of docs.
+
+    hits are the windows whose hash some template's window has: place, hash and words.
+    """
+    table = template_table(docs.sparkSession)
+    hashes = [r["gram"] for r in table.select("gram").distinct().collect()]  # a few hundred, fixed by TEMPLATES
+    vocabulary = sorted({w for _, text in TEMPLATES for w in template_words(text)})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    grams = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(let(words(text), _grams)).alias("pos", "gram"))
+
+    def stands(w: Column, phrase: str, label: str) -> Column:
+        parts = phrase.split()
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(len(parts))]) == phrase)
+        return F.transform(starts, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
+
+    def places(w: Column) -> Column:
+        none = F.array().cast("array<struct<at:bigint,label:string>>")
+        found = lambda line: F.flatten(F.array(*[F.when(F.contains(line, F.lit(f" {p} ")), stands(w, p, label)).otherwise(none) for p, label in PHRASES.items()]))
+        return let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), found)
+
+    def hits(w: Column) -> Column:
+        # the ends' words are looked up first, which spares most hashes
+        likely = lambda i: F.get(w, i).isin(vocabulary) & F.get(w, i + GRAM - 1).isin(vocabulary)
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: likely(i) & _gram(w, i).isin(hashes))
+        found = F.transform(at, lambda i: F.struct(i.cast("long").alias("pos"), _gram(w, i).alias("gram"), F.slice(w, i + 1, GRAM).alias("words")))
+        return F.when(F.size(w) >= GRAM, found)
+
+    scanned = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), places(w).alias("places"), hits(w).alias("hits")))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), scanned.alias("f")).select("row", "doc_id", "f.*")
+
+
+def spans(scanned: DataFrame) -> DataFrame:
+    """row, template, label, start, end (words, end exclusive), coverage, diagonals of every verified license span of windows()."""
+    own = scanned.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     # broadcast: a few hundred rows, fixed by TEMPLATES
-    hits = grams.join(F.broadcast(template_table(spark)), "gram").select(
-        "id", "text_hash", "template", "label", "n_grams", "n_words", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal")
-    )
-    hits = hits.distinct()
-    order = Window.partitionBy("id", "text_hash", "template").orderBy("diagonal", "pos")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(0))
-    runs = hits.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order))
-    merged = runs.groupBy("id", "text_hash", "template", "label", "n_grams", "n_words", "run").agg(
-        F.countDistinct("at").alias("matched"), F.min("pos").cast("long").alias("start"), (F.max("pos") + GRAM).cast("long").alias("end")
+    table = F.broadcast(template_table(scanned.sparkSession).withColumnRenamed("words", "own_words"))
+    hits = own.join(table, "gram").where(F.col("words") == F.col("own_words")).select("row", "template", "label", "n_grams", "n_words", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    order = Window.partitionBy("row", "template").orderBy("pos")
+    anew = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT) | (F.col("at") <= F.lag("at").over(order))
+    runs = hits.withColumn("anew", F.coalesce(anew.cast("int"), F.lit(0))).withColumn("run", F.sum("anew").over(order))
+    merged = runs.groupBy("row", "template", "label", "n_grams", "n_words", "run").agg(
+        F.count("*").alias("matched"), F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("end"), F.countDistinct("diagonal").alias("diagonals")
     )
     fits = (F.col("matched") >= COVERAGE * F.col("n_grams")) & (F.col("end") - F.col("start") <= STRETCH * F.col("n_words"))
-    return merged.where(fits).select("id", "text_hash", "template", "label", "start", "end", (F.col("matched") / F.col("n_grams")).alias("coverage"))
+    verified = merged.where(fits).withColumn("coverage", F.col("matched") / F.col("n_grams"))
+    # what may overlap a span begins within the longest span's length of its start, so few are looked at
+    longest = math.ceil(STRETCH * max(len(template_words(t)) for _, t in TEMPLATES))
+    near = Window.partitionBy("row").orderBy("start").rangeBetween(-longest, longest)
+    ranked = verified.withColumn("rank", F.struct("coverage", "n_words", (-F.col("template")).alias("t")))
+    around = ranked.withColumn("around", F.collect_list(F.struct("rank", "start", "end")).over(near))
+    better = F.exists("around", lambda o: (o["rank"] > F.col("rank")) & (o["start"] < F.col("end")) & (F.col("start") < o["end"]))
+    return around.where(~better).select("row", "template", "label", "start", "end", "coverage", "diagonals")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     score is the best coverage of a license span, one half if only a phrase is found,
-    else 0. Null texts count as empty. Repeated rows each get their row, null identifiers
-    stay, further columns are ignored, an empty table gives no rows.
+    else 0. Overlapping spans of equal coverage leave the longer template's, then the one
+    listed first. Null texts count as empty. Repeated rows each get their row, null
+    identifiers stay, further columns are ignored, an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-
-    def phrases(w: Column) -> Column:
-        line = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-
-        def stands(phrase: str, label: str) -> Column:
-            parts = phrase.split()
-            starts = F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(len(parts))]) == phrase)
-            return F.transform(starts, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
-
-        def places(line: Column) -> Column:
-            none = F.array().cast("array<struct<at:bigint,label:string>>")
-            return F.flatten(F.array(*[F.when(F.contains(line, F.lit(f" {p} ")), stands(p, label)).otherwise(none) for p, label in PHRASES.items()]))
-
-        return F.struct(F.size(w).cast("long").alias("n_words"), let(line, places).alias("places"))
-
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), let(words(text), phrases).alias("f")).select("doc_id", "text_hash", "f.*")
-    found = (
-        spans(docs, id_col, text_col)
-        .groupBy("id", F.col("text_hash").alias("of_text"))
-        .agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans"))
+    base = cut(windows(docs, id_col, text_col))
+    found = spans(base.select("row", "hits")).groupBy("row").agg(
+        F.collect_set("label").alias("more"), F.max("coverage").alias("best"), F.sort_array(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans")
     )
-    both = base.join(found, base["doc_id"].eqNullSafe(found["id"]) & (base["text_hash"] == found["of_text"]), "left")
+    both = base.drop("hits").join(found, "row", "left")
     none = F.array().cast("array<string>")
     own = F.transform("places", lambda p: p["label"])
     at = F.transform("places", lambda p: p["at"])
@@ -157,12 +179,13 @@ tgrams AS (
 grams AS (SELECT r, unnest(range(0, len(words) - {GRAM - 1})) AS pos, unnest({grams}) AS gram FROM docs WHERE len(words) >= {GRAM}),
 hits AS (SELECT r, template, label, n_words, n_grams, pos, place, pos - place AS diagonal FROM grams JOIN tgrams USING (gram)),
 marked AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal, pos) > {DRIFT} THEN 1 ELSE 0 END AS apart FROM hits),
-runs AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal, pos) AS run FROM marked),
-merged AS (
-  SELECT r, template, label, n_words, n_grams, run, count(DISTINCT place) AS matched, min(pos) AS s, max(pos) + {GRAM} AS e
-  FROM runs GROUP BY ALL),
-spans AS (SELECT r, label, matched / n_grams AS coverage FROM merged WHERE matched >= {COVERAGE} * n_grams AND e - s <= {STRETCH} * n_words),
+  SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER w) > {DRIFT} OR place <= lag(place) OVER w THEN 1 ELSE 0 END AS anew FROM hits WINDOW w AS (PARTITION BY r, template ORDER BY pos)),
+runs AS (SELECT *, sum(anew) OVER (PARTITION BY r, template ORDER BY pos) AS run FROM marked),
+merged AS (SELECT r, template, label, n_words, n_grams, run, count(*) AS matched, min(pos) AS s, max(pos) + {GRAM} AS e FROM runs GROUP BY ALL),
+verified AS (SELECT *, matched / n_grams AS coverage FROM merged WHERE matched >= {COVERAGE} * n_grams AND e - s <= {STRETCH} * n_words),
+spans AS (
+  SELECT r, label, coverage FROM verified v WHERE NOT EXISTS (
+    SELECT 1 FROM verified o WHERE o.r = v.r AND o.s < v.e AND v.s < o.e AND (o.coverage, o.n_words, -o.template) > (v.coverage, v.n_words, -v.template))),
 best AS (SELECT r, max(coverage) AS best, list(label) AS more FROM spans GROUP BY r),
 phrases AS (SELECT * FROM (VALUES {phrases}) AS p(phrase, label, n)),
 places AS (

@@ -49,6 +49,49 @@ def test_licenses(docs):
     assert licenses.scan(docs()).count() == 0 and licenses.scan(docs(*numbered(texts))).count() == len(texts) + 3
 
 
+def brute_license_spans(text):
+    """Verified spans by plain search, compared word by word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    found, k = [], licenses.GRAM
+    for t, (label, line) in enumerate(licenses.TEMPLATES):
+        w = licenses.template_words(line)
+        at_of = {tuple(w[a : a + k]): a for a in range(len(w) - k + 1)}
+        assert len(at_of) == len(w) - k + 1, "a template's windows differ from each other"
+        runs = []
+        for pos in range(len(words) - k + 1):
+            if (at := at_of.get(tuple(words[pos : pos + k]))) is not None:
+                if runs and runs[-1][-1][1] < at and abs((pos - at) - (runs[-1][-1][0] - runs[-1][-1][1])) <= licenses.DRIFT:
+                    runs[-1].append((pos, at))
+                else:
+                    runs.append([(pos, at)])
+        for r in runs:
+            if len(r) >= licenses.COVERAGE * len(at_of) and r[-1][0] + k - r[0][0] <= licenses.STRETCH * len(w):
+                found.append(((len(r) / len(at_of), len(w), -t), r[0][0], r[-1][0] + k, label))
+    return sorted((s, e, label, rank[0]) for rank, s, e, label in found if not any(o[0] > rank and o[1] < e and s < o[2] for o in found))
+
+
+def test_license_spans_by_search(docs):
+    rnd = random.Random(12)
+    lines = [t for _, t in licenses.TEMPLATES]
+    texts = ["Released under the MIT License. " * 3, f"{lines[5]} {lines[5]} {lines[6]}", lines[5], lines[6], f"{lines[3]} between {lines[3]}", f"{' '.join(lines[8].split()[::-1])}"]
+    for _ in range(80):
+        words = []
+        for _ in range(rnd.randrange(1, 5)):
+            own = rnd.choice(lines).split()
+            for _ in range(rnd.randrange(0, 4)):
+                place = rnd.randrange(len(own))
+                own[place : place + rnd.randrange(0, 3)] = [rnd.choice(["foo", "license", "the"])] * rnd.randrange(0, 3)
+                own = own or ["x"]
+            words += own + ["gap"] * rnd.randrange(0, 3)
+        texts.append(" ".join(words))
+    texts.append("filler " * 200_000 + lines[1])
+    got = by_id(licenses.scan(docs(*enumerate(texts))))
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in got[i]["spans"] or []] == brute_license_spans(t), t[:200]
+    assert len(got[0]["spans"]) == 3 and got[0]["score"] == 1 and got[2]["labels"] == "gpl,gpl-3.0" and got[3]["labels"] == "gpl,gpl-2.0" and len(got[1]["spans"]) == 3
+    assert got[5]["spans"] is None, "order counts"
+
+
 # 2, quality
 
 
