@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle_sql(), "op3_warc_chunks": warc.oracle_sql(), "op7_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_license_scan": licenses.oracle_sql(), "op3_warc_chunks": warc.oracle_sql(), "op4_embedding_dedup": embedding_dedup.oracle_sql(), "op7_quality_rules": quality_rules.oracle_sql()}

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -89,13 +90,13 @@ def test_embeddings(spark):
     vectors = [(i, near(a, 0.09), i % 2) for i in range(60)] + [(100 + i, near(b, rnd.uniform(0.05, 0.3)), 1) for i in range(40)] + [(200 + i, unit(), 1) for i in range(60)]
     vectors += [(300, [3 * x for x in a], 1), (301, list(a), 1), (302, list(a), 1), (303, list(a), None), (304, None, 1), (305, [], 1), (306, [0.0] * 64, 1)]
     vectors += [(307, [None, *a[1:]], 1), (308, [float("nan"), *a[1:]], 1), (309, [float("inf"), *a[1:]], 1), (310, a[:5], 1), (311, a[:5], 1), (312, [1e200 * x for x in b], 1)]
-    vectors += [(None, list(a), 1), (302, list(a), 1)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("block", F.lit(2))
+    vectors += [(None, list(a), 1), (302, list(a), 1), (302, list(b), 1), (302, unit(), 0), (None, unit(), 1)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("block", F.lit(2)).withColumn("row", F.lit(3))
 
     def usable(v, label):
         return label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
-    good = {i: (v, label) for i, v, label in vectors if i is not None and usable(v, label)}
+    good = {k: (v, label) for k, (_, v, label) in enumerate(vectors) if usable(v, label)}
 
     def cosine(u, v):
         scale = lambda w: [x / max(map(abs, w)) for x in w]
@@ -104,15 +105,36 @@ def test_embeddings(spark):
 
     close = {(i, j) for i in good for j in good if i != j and good[i][1] == good[j][1] and len(good[i][0]) == len(good[j][0]) and cosine(good[i][0], good[j][0]) >= 0.98}
     roots = components(set(good), lambda m, x: (m, x) in close)
-    every = {i for i, _, _ in vectors if i is not None}
-    want = {i: (sum(1 for p in close if p[0] == i), roots.get(i, i)) for i in every}
-    for chunk in (4, 1024):
-        got = embedding_dedup.near_duplicates(df, chunk=chunk).collect()
-        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None} == want
-        assert len(got) == len(every) + 1 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+    least = {}
+    for k, r in roots.items():
+        if vectors[k][0] is not None:
+            least[r] = min(vectors[k][0], least.get(r, vectors[k][0]))
+    want = [(i, sum(1 for p in close if p[0] == k), least.get(roots[k]) if k in roots else i) for k, (i, _, _) in enumerate(vectors)]
+    want = sorted(((*w, w[0] == w[2] or w[2] is None) for w in want), key=str)
+    for leaf in (2, 8, 4096):  # deep trees and many chunks, and neither
+        got = [tuple(r) for r in embedding_dedup.near_duplicates(df, leaf=leaf).collect()]
+        assert sorted(got, key=str) == want
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_hold_every_near_pair():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16)) * 0.125
+    x[150:] = x[:150] + rng.normal(size=(150, 16)) * 0.02
+    budget = 0.01
+    for depth in (0, 1, 5, 12):
+        posted = {}
+        for rows, cell, own in embedding_dedup.cells(x, depth, budget):
+            for r, c, o in zip(rows, cell, own):
+                assert (c, r) not in posted.get("seen", set())
+                posted.setdefault(int(c), []).append((int(r), bool(o)))
+        for i in range(300):
+            for j in range(i + 1, 300):
+                if ((x[i] - x[j]) ** 2).sum() <= budget:
+                    both = [c for c, m in posted.items() if {i, j} <= {r for r, _ in m} and any(o for r, o in m if r in (i, j))]
+                    assert len(both) == 1, (depth, i, j)
+
+
 def test_shingle_copies(spark, docs, monkeypatch):
     """The pipeline's stage keeps one row of each component of five-word Jaccard 0.8, as plain search does."""
     import corpus_pipeline
