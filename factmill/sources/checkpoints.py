@@ -20,14 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """df computed once and read back: its rows are in the shared folder, with no lineage behind them.
 
-    A written table, since in loops the copies that checkpoint() returns keep column
+    options are those of Spark's Parquet writer, such as compression. A written table, since in loops the copies that checkpoint() returns keep column
     properties under identities they no longer have, on which unions of them fail.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
