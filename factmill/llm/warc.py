@@ -136,7 +136,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, chunk: int = CHUN
     """
     spark = pages.sparkSession
     with small_batches(spark):
-        stored = stored_table(chunk_rows(pages, chunk))
+        stored = stored_table(chunk_rows(pages, chunk), compression="zstd")
     records(stored, kinds(stored, least_bytes)).write.mode("overwrite").option("compression", "gzip").option("lineSep", RECORD_END).text(folder)
     release(stored)
 
