@@ -4,17 +4,28 @@ Patterns propose spans: the base kinds (email, ip, card, phone), their matches t
 a check, and looser ones (spelled-out addresses, bare phone numbers, secrets). Labelers
 (shape, gazetteer, context, boundary, checksum, surroundings) each vote for, against or
 not at all. Expectation-maximisation over the counts of vote patterns estimates how
-reliable each labeler is, without labels; its posteriors train the final classifier of
-spans. Vote patterns are a small fixed set, so what reaches the driver is bounded, while
-the counts cover every span of every document.
+reliable each labeler is, without labels; the counts cover every span of every document,
+and vote patterns are a small fixed set, so what reaches the driver is bounded.
+
+Its posteriors are the soft labels on which the final classifier of spans is trained. The
+classifier doesn't see the votes: it sees the span's kind, its characters (classes,
+entropy, runs, letters that read like words, check digits) and the word that follows, while labelers
+look at the words before. So it carries what the labelers found over to spans on which they are silent or
+wrong, and may decide differently on two spans with the same votes.
 
 Base spans that pass their checks always stay; the classifier decides the others.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +37,12 @@ from .common import cut
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "card_inner", "email_spelled", "phone_bare", "secret")
 N_LABELERS = 6
+#: Most spans that the final classifier is trained on; they are chosen by a hash of place and text.
+SAMPLE_SPANS = 20_000
+#: Words before a span in which the context labeler looks, and buckets of the word behind it.
+CONTEXT_WORDS = 5
+BUCKETS = 32
+N_SHAPE = 12
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match never starts inside a run of digits: then it would start at the run's first digit.
@@ -34,7 +51,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CARD_INNER = re.compile(r"(?<![0-9])[0-9]{16,19}(?![0-9])")
 _BARE = re.compile(r"(?<![0-9A-Za-z+.(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\bat\b|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}(?: ?(?:\bdot\b|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,64}){1,8}", re.I)
+# The lengths are those that mail allows for a name and the domain system for a label.
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\bat\b|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\bdot\b|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63})+", re.I)
 _SECRET = re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{12,}(?![0-9A-Za-z_-])")
 _NUMBER_NEAR = re.compile(r"[0-9]")
 
@@ -56,6 +74,65 @@ _FAMILY = {"card_inner": "card", "email_spelled": "email", "phone_bare": "phone"
 _BEFORE = re.compile(r"[A-Za-z_-]+")
 
 
+class _Words:
+    """The words of a text, found once and only if they are asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def places(self) -> tuple[list[int], list[int]]:
+        found = [(m.start(), m.end()) for m in _BEFORE.finditer(self.text)]
+        return [a for a, _ in found], [b for _, b in found]
+
+    def before(self, start: int, n: int) -> list[str]:
+        """The last n words that end at start or before."""
+        starts, ends = self.places
+        upto = bisect_right(ends, start)
+        return [self.text[starts[k] : ends[k]].lower().strip("-_") for k in range(max(0, upto - n), upto)]
+
+    def after(self, end: int) -> str:
+        starts, ends = self.places
+        k = bisect_left(starts, end)
+        return self.text[starts[k] : ends[k]].lower().strip("-_") if k < len(starts) else ""
+
+
+def _bucket(word: str) -> int:
+    """A word's bucket; 0 for none."""
+    return 1 + zlib.crc32(word.encode("utf-8")) % (BUCKETS - 1) if word else 0
+
+
+def _well_formed(kind: str, s: str) -> bool:
+    """Whether a span is what its kind's numbering allows: check digits, octets, numbers of digits."""
+    digits, family = _digits(s), _FAMILY.get(kind, kind)
+    if family == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if family == "ip":
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+    return family != "phone" or 8 <= len(digits) <= 15
+
+
+def features(text: str, words: _Words, kind: str, start: int, end: int) -> list[float]:
+    """What the classifier sees of a span beside its kind: N_SHAPE numbers and the bucket of the next word."""
+    s = text[start:end]
+    n = len(s)
+    counts = Counter(s)
+    classes = "".join("d" if "0" <= c <= "9" else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in s)
+    letters = classes.count("u") + classes.count("l")
+    shape = [
+        math.log1p(n),
+        classes.count("d") / n, classes.count("u") / n, classes.count("l") / n, classes.count("o") / n,
+        -sum(k / n * math.log2(k / n) for k in counts.values()) / 5,
+        len(counts) / n,
+        sum(a != b for a, b in zip(classes, classes[1:])) / n,
+        sum(k for c, k in counts.items() if c in "aeiouAEIOU") / letters if letters else 0.0,
+        max((len(r) for r in re.findall("[ul]+", classes)), default=0) / n,
+        float(all(c in "0123456789abcdefABCDEF" for c in s)),
+        float(_well_formed(kind, s)),
+    ]
+    return [*shape, float(_bucket(words.after(end)))]
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses, found from each @ so that the scan is linear."""
     found, end, at = [], 0, text.find("@")
@@ -120,11 +197,11 @@ def _candidates(text: str, base: list[tuple[str, int, int, bool]]) -> list[tuple
     return out
 
 
-def votes(text: str, kind: str, start: int, end: int, passes: bool | None) -> int:
+def votes(text: str, words: _Words, kind: str, start: int, end: int, passes: bool | None) -> int:
     """The vote pattern of a span: a base-3 number of the labelers' votes, plus its kind's block."""
     family, s = _FAMILY.get(kind, kind), text[start:end]
     digits = _digits(s)
-    before = [w.lower().strip("-_") for w in _BEFORE.findall(text[max(0, start - 40) : start])]
+    before = words.before(start, CONTEXT_WORDS)
     left, right = text[start - 1 : start] if start else " ", text[end : end + 1] or " "
     shape = 0 if passes is None else 1 if passes else -1
     if family == "email":
@@ -160,17 +237,17 @@ def _unpack(pattern: int) -> tuple[int, list[int]]:
     return kind, out[::-1]
 
 
-_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int32())]))
-_SPAN_SQL = "array<struct<kind:string,start:long,end:long,pattern:int>>"
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int32()), ("x", pa.list_(pa.float64()))]))
+_SPAN_SQL = "array<struct<kind:string,start:long,end:long,pattern:int,x:array<double>>>"
 
 
 def _spans_of(text: str) -> tuple[list[dict], list[dict]]:
     """Base spans that pass, and all other candidates."""
     if "@" not in text and not _NUMBER_NEAR.search(text) and "dot" not in text.lower():
         return [], []
-    base, other = [], []
+    base, other, words = [], [], _Words(text)
     for kind, a, b, passes in _candidates(text, matches(text)):
-        span = {"kind": kind, "start": a, "end": b, "pattern": votes(text, kind, a, b, passes)}
+        span = {"kind": kind, "start": a, "end": b, "pattern": votes(text, words, kind, a, b, passes), "x": features(text, words, kind, a, b)}
         (base if passes else other).append(span)
     return base, other
 
@@ -222,41 +299,77 @@ def reliabilities(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, f
     return dict(zip(patterns, true.tolist(), strict=True)), rates
 
 
-def train(counts: dict[int, int], posterior: dict[int, float], ridge: float = 1.0) -> dict[int, float]:
-    """The final classifier's probability for each pattern: a logistic model of kind and votes, on soft labels."""
-    if not counts:
-        return {}
-    patterns = sorted(counts)
-    x = np.zeros((len(patterns), len(KINDS) + 3 * N_LABELERS))
-    for i, p in enumerate(patterns):
-        kind, ballots = _unpack(p)
-        x[i, kind] = 1
-        for j, v in enumerate(ballots):
-            x[i, len(KINDS) + 3 * j + v] = v != 1
-    n, y = np.array([counts[p] for p in patterns], float), np.array([posterior[p] for p in patterns])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - q)) - ridge * w)
-    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+def _expanded(kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The classifier's columns: kind, each kind's own numbers, and the bucket of the next word."""
+    n, k = len(kinds), len(KINDS)
+    out = np.zeros((n, k + k * N_SHAPE + BUCKETS))
+    at = np.arange(n)
+    out[at, kinds] = 1
+    for j in range(N_SHAPE):
+        out[at, k + kinds * N_SHAPE + j] = x[:, j]
+    out[at, k + k * N_SHAPE + x[:, N_SHAPE].astype(int)] = 1
+    return out
+
+
+@dataclass
+class Classifier:
+    weights: np.ndarray
+
+    def probability(self, kinds: list[str], x: list[list[float]]) -> np.ndarray:
+        if not kinds:
+            return np.zeros(0)
+        z = _expanded(np.array([KINDS.index(c) for c in kinds]), np.array(x, float))
+        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+
+
+def train(kinds: list[str], x: list[list[float]], label: list[float], ridge: float = 0.1, rounds: int = 15) -> Classifier:
+    """A logistic model of spans on soft labels, by Newton steps."""
+    width = len(KINDS) * (1 + N_SHAPE) + BUCKETS
+    if not kinds:
+        return Classifier(np.zeros(width))
+    z, y, w = _expanded(np.array([KINDS.index(c) for c in kinds]), np.array(x, float)), np.array(label), np.zeros(width)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + ridge * np.eye(width), z.T @ (y - q) - ridge * w)
+        w += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+    return Classifier(w)
+
+
+def fit(found: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Classifier:
+    """The classifier of candidates(): posteriors from the votes of all spans, trained on about sample_spans of them."""
+    counts = pattern_counts(found)
+    posterior, _ = reliabilities(counts)
+    n = sum(counts.values())
+    each = found.select("doc_id", F.explode(F.concat("base", "other")).alias("s")).select("s.*", F.xxhash64("doc_id", "s.start", "s.kind").alias("at"))
+    if n > sample_spans:
+        each = each.where(F.pmod("at", F.lit(1_000_000)) < int(1_000_000 * sample_spans / n))
+    rows = sorted(each.select("kind", "x", "pattern", "at").collect(), key=lambda r: (r["at"], r["pattern"], r["x"]))
+    return train([r["kind"] for r in rows], [r["x"] for r in rows], [posterior[r["pattern"]] for r in rows])
 
 
 def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, base and added, arrays of (kind, start, end) in code points.
 
-    base is ordered by kind (email, ip, card, phone) and start; added by kind and start.
-    Null or empty texts have no spans. Repeated rows each get their row, null identifiers
-    stay, further columns are ignored, an empty table gives no rows.
+    base is ordered by kind (email, ip, card, phone) and start; added by start and kind. A
+    span whose probability equals the threshold is added. Null or empty texts have no
+    spans. Repeated rows each get their row, null identifiers stay, further columns are
+    ignored, an empty table gives no rows.
     """
     found = cut(candidates(docs))
-    counts = pattern_counts(found)
-    posterior, _ = reliabilities(counts)
-    accepted = [p for p, q in train(counts, posterior).items() if q >= threshold]
-    # at most one entry for each of the vote patterns
-    known = F.array(*[F.lit(p) for p in accepted]) if accepted else F.array().cast("array<int>")
-    bare = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-    added = F.sort_array(F.transform(F.filter("other", lambda c: F.array_contains(known, c["pattern"])), bare))
-    return found.select("doc_id", F.transform("base", bare).alias("base"), added.alias("added"))
+    model = fit(found)
+    plain = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2).to_pylist()
+            accepted = iter(model.probability([s["kind"] for r in rows for s in r], [s["x"] for r in rows for s in r]) >= threshold)
+            added = [sorted(({k: s[k] for k in ("kind", "start", "end")} for s in r if next(accepted)), key=lambda s: (s["start"], s["kind"])) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, plain)], names=["doc_id", "base", "added"])
+
+    kept = "array<struct<kind:string,start:long,end:long>>"
+    bare = F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias("base")
+    decided = found.where("size(other) > 0").select("doc_id", bare, "other").mapInArrow(each, f"doc_id long, base {kept}, added {kept}")
+    return decided.union(found.where("size(other) = 0").select("doc_id", bare, F.array().cast(kept)))
 
 
 def _joined(spans_col: str):
@@ -285,17 +398,17 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs with every span replaced by its kind in brackets, and n_chars counted anew.
 
-    Training counts cover all of docs; the spans are then found again beside the texts,
+    Votes are counted over all of docs; the spans are then found again beside the texts,
     which therefore are never shuffled. Overlapping spans become one, named by the first.
+    Null texts stay null; repeated rows and rows without an identifier all stay; an
+    empty table stays empty.
     """
-    counts = pattern_counts(candidates(docs))
-    posterior, _ = reliabilities(counts)
-    accepted = frozenset(p for p, q in train(counts, posterior).items() if q >= threshold)
+    model = fit(cut(candidates(docs)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [None if t is None else _redacted(t, accepted) for t in batch.column(at).to_pylist()]
+            texts = [t if t is None else _redacted(t, model, threshold) for t in (x.as_py() for x in batch.column(at))]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if (k := batch.schema.get_field_index("n_chars")) >= 0:
@@ -306,9 +419,10 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return docs.mapInArrow(each, docs.schema)
 
 
-def _redacted(text: str, accepted: frozenset[int]) -> str:
+def _redacted(text: str, model: Classifier, threshold: float) -> str:
     base, other = _spans_of(text)
-    chosen = sorted([(s["start"], s["end"], s["kind"]) for s in base] + [(s["start"], s["end"], s["kind"]) for s in other if s["pattern"] in accepted])
+    accepted = model.probability([s["kind"] for s in other], [s["x"] for s in other]) >= threshold
+    chosen = sorted((s["start"], s["end"], s["kind"]) for s in [*base, *(s for s, yes in zip(other, accepted, strict=True) if yes)])
     if not chosen:
         return text
     out, at = [], 0

@@ -268,11 +268,28 @@ def test_reliabilities():
         truth.setdefault(p, []).append(y)
     posterior, learned = pii.reliabilities(dict(counts))
     assert all(abs(learned[1, j, 2] - r) < 0.06 for j, r in enumerate(rates))
-    final = pii.train(dict(counts), posterior)
-    right = sum(sum(y == (final[p] >= 0.5) for y in ys) for p, ys in truth.items())
+    right = sum(sum(y == (posterior[p] >= 0.5) for y in ys) for p, ys in truth.items())
     assert right >= 0.95 * 5000
 
 
+def test_classifier_overrules_votes(docs):
+    """Two spans of the same kind with the same votes: the one whose characters are a secret's is added, the other isn't."""
+    rnd = random.Random(21)
+    secret = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(14))
+    wordy = lambda: "".join(rnd.choice(["relay", "sunny", "grove", "windy"]) + str(rnd.randrange(10, 100)) for _ in range(2))
+    neutral = lambda: rnd.choice(["seen", "about", "with", "near", "under"])
+    rows = [(i, f"{prose(rnd, 8)} password {secret()} {prose(rnd, 4)}") for i in range(300)]
+    rows += [(1000 + i, f"{prose(rnd, 8)} {neutral()} {wordy()} {prose(rnd, 4)}") for i in range(200)]
+    rows += [(2000 + i, f"{prose(rnd, 8)} {neutral()} {secret()} {prose(rnd, 4)}") for i in range(10)]
+    found = by_id(pii.candidates(docs(*rows)))
+    patterns = {kind: Counter(s["pattern"] for i, r in found.items() if i // 1000 == kind for s in r["other"]) for kind in (0, 1, 2)}
+    assert set(patterns[2]) <= set(patterns[1]) and not set(patterns[2]) & set(patterns[0]), "unseen secrets get the votes of words"
+    posterior, _ = pii.reliabilities(pii.pattern_counts(pii.candidates(docs(*rows))))
+    assert all(posterior[p] < 0.5 for p in patterns[1]) and all(posterior[p] >= 0.5 for p in patterns[0])
+    added = {i: len(r["added"]) for i, r in by_id(pii.spans(docs(*rows))).items()}
+    assert sum(added[i] for i in range(300)) >= 295 and sum(added[1000 + i] for i in range(200)) <= 5 and sum(added[2000 + i] for i in range(10)) >= 9
+
+
 # 6, packing
 
 
