@@ -6,14 +6,20 @@ A chain of two states with learned transitions joins the lines; forward-backward
 marginals give each line's probability of being good. Their mean by line length is the
 document's quality, which a logistic curve fitted on the sample calibrates.
 
-Labels are those of whole documents, so training takes a document's label for each of
-its lines. It reads a bounded sample outside the held-out fold.
+Labels are those of whole documents; which lines make a document bad isn't told. Line
+labels are therefore latent in training: a good document is one whose lines are all good,
+a bad one has a bad line at least. The likelihood of the documents' labels has the
+expected lines and moves given the label, less those without it, as its slope; given a bad
+label these are the marginals without the path on which all lines are good. The first
+steps take the document's label for each line, which only sets where the climb begins.
+Training reads a bounded sample outside the held-out fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,11 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 2_000
 SAMPLE_LINES = 200_000
 THRESHOLD = 0.7
+#: Share of the training steps that take a document's label for its lines.
+WARM = 0.3
+#: Score by which lines of bad documents are held to be good before they are looked at: a bad
+#: document needs one bad line, and nothing else speaks for more of them than its lines do.
+LENIENCE = 0.5
 #: Texts that are described together: so many, and so many bytes, at most (one text may be longer).
 _PART, _PART_BYTES = 128, 1 << 20
 
@@ -41,8 +52,28 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _OWN = len(_CLASSES) + 8
 N_FEATURES = 1 + 3 * _OWN + 2
-_HASH = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, size=(16, 256), dtype=np.uint64)
+_HASH = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, size=256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+
+
+@lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64, and of its inverse."""
+    step = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64)
+    return step(_BASE), step(pow(_BASE, -1, 1 << 64))
+
+
+class _Hashes:
+    """Hashes of stretches of bytes that count each byte by its place in the stretch."""
+
+    def __init__(self, data: np.ndarray):
+        size = 1 << max(10, int(len(data)).bit_length())
+        powers, self.back = _powers(size)
+        self.total = np.concatenate(([np.uint64(0)], np.cumsum(_HASH[data] * powers[: len(data)], dtype=np.uint64)))
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return ((self.total[stops] - self.total[starts]) * self.back[starts]) * _MIX + (stops - starts).astype(np.uint64)
 
 
 def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -101,12 +132,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     words = np.bincount(line_of_word, minlength=n)
     some = np.maximum(words, 1)
     word_length = stops - begins
-    marks = np.zeros(len(data), np.int64)
-    marks[begins] = begins
-    place = np.arange(len(data)) - np.maximum.accumulate(marks)
-    coded_bytes = _HASH[np.minimum(place, 15), data]
-    total = np.concatenate(([np.uint64(0)], np.cumsum(coded_bytes, dtype=np.uint64)))
-    word = (total[stops] - total[begins]) * _MIX + word_length.astype(np.uint64)
+    hashes = _Hashes(data)
+    word = hashes.of(begins, stops)
     text_of_word = text_of_line[line_of_word]
 
     k = len(_CLASSES)
@@ -126,7 +153,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     repeated = np.zeros(len(word))
     repeated[within] = _twice(grams[within] ^ (text_of_word[within].astype(np.uint64) * _MIX))
     own[:, k + 4] = np.bincount(line_of_word, weights=repeated, minlength=n) / some
-    line_hash = (total[ends] - total[starts[:-1]]) * _MIX + length.astype(np.uint64)
+    line_hash = hashes.of(starts[:-1], ends)
     own[:, k + 5] = _twice(line_hash ^ (text_of_line.astype(np.uint64) * _MIX)) & (words > 0)
     own[:, k + 6] = words == 0
     tail = data[np.maximum(ends - 1, 0)]
@@ -147,35 +174,70 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return full, length, lines
 
 
+class Chains:
+    """Forward-backward over texts side by side, the longest first, one step at a time."""
+
+    def __init__(self, lines: np.ndarray):
+        self.lines = lines
+        self.order = np.argsort(-lines, kind="stable")
+        self.first = (np.concatenate(([0], np.cumsum(lines)[:-1])))[self.order]
+        long = lines[self.order]
+        self.deepest = int(long[0]) if len(long) else 0
+        self.alive = np.searchsorted(-long, -np.arange(self.deepest), side="left") if self.deepest else np.zeros(0, np.int64)
+
+    def run(self, scores: np.ndarray, moves: np.ndarray, weights: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """P(good) of every line, expected moves (2 x 2), the log partition value of every text.
+
+        scores are the lines' scores of good over bad; moves[a, b] is the score of state a
+        being followed by b. Where weights makes a number for each text from the partition
+        values, the moves so weighted come last.
+        """
+        up = np.exp(moves)
+        emit = np.stack([np.ones_like(scores), np.exp(np.clip(scores, -30, 30))], axis=1)
+        forward, scale = np.empty_like(emit), np.empty(len(scores))
+        for t in range(self.deepest):
+            at = self.first[: self.alive[t]] + t
+            f = emit[at] if t == 0 else (forward[at - 1] @ up) * emit[at]
+            scale[at] = s = f.sum(axis=1)
+            forward[at] = f / s[:, None]
+        logs = _sums(np.log(scale), np.concatenate(([0], np.cumsum(self.lines))))
+        weight = None if weights is None else weights(logs)[self.order]
+        backward = np.ones_like(emit)
+        pairs, weighted = np.zeros((2, 2)), np.zeros((2, 2))
+        for t in range(self.deepest - 1, 0, -1):
+            n = self.alive[t]
+            at = self.first[:n] + t
+            ahead = backward[at] * emit[at] / scale[at][:, None]
+            pairs += (forward[at - 1].T @ ahead) * up
+            if weight is not None:
+                weighted += ((forward[at - 1] * weight[:n, None]).T @ ahead) * up
+            backward[at - 1] = ahead @ up.T
+        good = forward * backward
+        return good[:, 1] / good.sum(axis=1), pairs, logs, None if weight is None else weighted
+
+
 def marginals(scores: np.ndarray, lines: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(good) of every line, expected moves (2 x 2), and the sum of log partition values.
+    """P(good) of every line, expected moves (2 x 2), and the sum of log partition values."""
+    good, pairs, logs, _ = Chains(lines).run(scores, moves)
+    return good, pairs, float(logs.sum())
 
-    scores are the lines' scores of good over bad; moves[a, b] is the score of state a
-    being followed by b. Chains run side by side, the longest first, one step at a time.
-    """
-    order = np.argsort(-lines, kind="stable")
-    first = (np.concatenate(([0], np.cumsum(lines)[:-1])))[order]
-    long = lines[order]
-    deepest = int(long[0]) if len(long) else 0
-    alive = np.searchsorted(-long, -np.arange(deepest), side="left") if deepest else np.zeros(0, np.int64)
-    up = np.exp(moves)
-    emit = np.stack([np.ones_like(scores), np.exp(np.clip(scores, -30, 30))], axis=1)
-    forward = np.empty_like(emit)
-    scale = np.empty(len(scores))
-    for t in range(deepest):
-        at = first[: alive[t]] + t
-        f = emit[at] if t == 0 else (forward[at - 1] @ up) * emit[at]
-        scale[at] = s = f.sum(axis=1)
-        forward[at] = f / s[:, None]
-    backward = np.ones_like(emit)
-    pairs = np.zeros((2, 2))
-    for t in range(deepest - 1, 0, -1):
-        at = first[: alive[t]] + t
-        ahead = backward[at] * emit[at] / scale[at][:, None]
-        pairs += (forward[at - 1].T @ ahead) * up
-        backward[at - 1] = ahead @ up.T
-    good = forward * backward
-    return good[:, 1] / good.sum(axis=1), pairs, float(np.log(scale).sum())
+
+def given_labels(chains: Chains, scores: np.ndarray, moves: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of every line and expected moves, with the texts' labels known: all lines are good, or one is bad at least."""
+    lines, bad = chains.lines, label == 0
+    ends = np.concatenate(([0], np.cumsum(lines)))
+    path = _sums(np.clip(scores, -30, 30), ends) + (lines - 1) * moves[1, 1]
+    all_good = np.zeros(len(lines))
+
+    def weights(logs: np.ndarray) -> np.ndarray:
+        all_good[:] = np.minimum(np.exp(np.minimum(path - logs, 0)), 1 - 1e-9)
+        return bad / (1 - all_good)
+
+    good, _, _, seen = chains.run(scores, moves, weights)
+    of_line = np.repeat(all_good, lines)
+    told = np.where(np.repeat(bad, lines), np.clip((good - of_line) / (1 - of_line), 0, 1), 1.0)
+    seen[1, 1] += ((lines - 1) * np.where(bad, -all_good / (1 - all_good), 1.0)).sum()
+    return told, seen
 
 
 @dataclass
@@ -204,19 +266,22 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, length: np.ndarray, lines: np.ndarray, label: np.ndarray, steps: int = 100, ridge: float = 1.0) -> Model:
-    """The field's weights by gradient ascent (Adam) on the conditional likelihood."""
+    """The field's weights by gradient ascent (Adam) on the likelihood of the documents' labels, line labels being latent."""
     mean, spread = x.mean(axis=0), x.std(axis=0)
     mean[0], spread[spread < 1e-9] = 0.0, 1.0
     z = (x - mean) / spread
     y = np.repeat(label, lines).astype(float)
     chained = np.flatnonzero(np.repeat(np.arange(len(lines)), lines)[1:] == np.repeat(np.arange(len(lines)), lines)[:-1])
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[chained].astype(int), y[chained + 1].astype(int)), 1)
+    alike = np.zeros((2, 2))
+    np.add.at(alike, (y[chained].astype(int), y[chained + 1].astype(int)), 1)
     w = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    chains = Chains(lines)
     for k in range(1, steps + 1):
-        good, pairs, _ = marginals(z @ w[:-4], lines, w[-4:].reshape(2, 2))
-        slope = np.concatenate((z.T @ (y - good), (seen - pairs).ravel())) / len(y) - ridge * w / len(y)
+        scores, moves = z @ w[:-4], w[-4:].reshape(2, 2)
+        good, pairs, _, _ = chains.run(scores, moves)
+        told, seen = (y, alike) if k <= steps * WARM else given_labels(chains, scores + LENIENCE * (y == 0), moves, label)
+        slope = np.concatenate((z.T @ (told - good), (seen - pairs).ravel())) / len(y) - ridge * w / len(y)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model = Model(mean, spread, w[:-4], w[-4:].reshape(2, 2))
@@ -283,7 +348,11 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more, with all their columns."""
+    """The rows of docs that score THRESHOLD or more, with all their columns.
+
+    A null text scores as an empty one. Repeated rows and rows without an identifier are
+    judged each by itself; an empty table stays empty.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

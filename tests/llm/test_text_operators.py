@@ -115,6 +115,57 @@ def test_marginals_by_enumeration():
     assert np.allclose(good, want) and np.allclose(pairs, seen) and np.isclose(total, logs)
 
 
+def test_marginals_given_labels_by_enumeration():
+    rng = np.random.default_rng(5)
+    lines, label = np.array([3, 1, 4, 2, 1]), np.array([0, 0, 1, 0, 1])
+    scores, moves = rng.normal(size=11), rng.normal(size=(2, 2))
+    told, seen = quality_crf.given_labels(quality_crf.Chains(lines), scores, moves, label)
+    want, pairs, at = [], np.zeros((2, 2)), 0
+    for n, good in zip(lines, label):
+        weights = {}
+        for y in product((0, 1), repeat=int(n)):
+            if all(y) == bool(good):
+                weights[y] = np.exp(sum(scores[at + t] * y[t] for t in range(n)) + sum(moves[a, b] for a, b in zip(y[:-1], y[1:])))
+        z = sum(weights.values())
+        want += [sum(w for y, w in weights.items() if y[t]) / z for t in range(n)]
+        for y, w in weights.items():
+            for a, b in zip(y[:-1], y[1:]):
+                pairs[a, b] += w / z
+        at += n
+    assert np.allclose(told, want) and np.allclose(seen, pairs)
+
+
+def test_hashes_tell_orders_apart():
+    words = ["abcdefghijklmnopqrstuv", "abcdefghijklmnopqrstvu", "b" + "a" * 40, "a" * 40 + "b", "abcdefghijklmnopqrstuv"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    h = quality_crf._Hashes(data).of(ends - [len(w) for w in words], ends).tolist()
+    assert h[0] == h[4] and len(set(h)) == 4
+
+
+def test_junk_between_good_lines():
+    """Line labels are found although only documents are labelled, and bad ones are good for the most part."""
+    rnd = random.Random(17)
+
+    def text(bad):
+        rows = [(prose(rnd, rnd.randrange(15, 40)), 1) for _ in range(rnd.randrange(4, 12))]
+        if bad:
+            for _ in range(rnd.randrange(1, 3)):
+                junk = lambda: " ".join("".join(rnd.choice("bcdfgxz$#%*") for _ in range(rnd.randrange(8, 16))) for _ in range(rnd.randrange(6, 20)))
+                place = rnd.randrange(len(rows) + 1)
+                rows[place:place] = [(junk(), 0) for _ in range(rnd.randrange(1, 4))]
+        return "\n".join(t for t, _ in rows), [y for _, y in rows]
+
+    made = [(*text(i % 2), 1 - i % 2) for i in range(600)]
+    x, length, lines = quality_crf.line_features([t for t, _, _ in made[:400]])
+    model = quality_crf.train(x, length, lines, np.array([y for *_, y in made[:400]]))
+    _, good, n = model.qualities([t for t, _, _ in made[400:]])
+    truth = np.array([y for _, ys, _ in made[400:] for y in ys])
+    assert (truth == 0).mean() > 0.1 and ((good > 0.5) == (truth == 1)).mean() > 0.97
+    score = model.scores(model.qualities([t for t, _, _ in made[400:]])[0])
+    assert ((score >= 0.7) == np.array([y == 1 for *_, y in made[400:]])).mean() > 0.95
+
+
 def prose(rnd, n=60):
     word = lambda: "".join(rnd.choice(["ri", "ver", "sto", "ne", "hou", "se", "wal", "ks", "gre", "en"]) for _ in range(rnd.randrange(1, 5)))
     return " ".join(word() + ("." if k % 12 == 11 else "") for k in range(n))
