@@ -7,8 +7,9 @@ mark the toxic class; those that are significant score the lower end of their in
 every other token a fixed loss. One linear scan finds all maximal segments of a text. A
 segment's score S is calibrated by the extreme-value law for maximal segments: by chance
 a text of n tokens holds K n exp(-lambda S) segments as good, lambda being the root of
-sum p(s) exp(lambda s) = 1 over the scores of clean training text. A logistic curve over
-the logarithm of that number, fitted on the sample, turns it into a probability.
+sum p(s) exp(lambda s) = 1 over the scores of clean training text, and K the value that
+makes the best segments of the clean training texts likeliest under that law. A logistic
+curve over the logarithm of that number, fitted on the sample, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -26,16 +27,14 @@ from pyspark.sql import functions as F
 from .common import bounded_labels, cut, fold_of
 
 FOLDS, HELD_OUT = 5, 0
-#: Most labelled rows that training reads, and most tokens that a model keeps.
+#: Most labelled rows that training reads; a model keeps every token of them that is significant.
 SAMPLE_ROWS = 6_000
-LEXICON = 20_000
 #: Count that the prior adds to a token in either class; standard errors that log-odds
 #: must lie from zero (many tokens are tested), and the least lower end of their interval.
 PRIOR = 1.0
 Z = 4.0
 LEAST_GAIN = 1.0
 LOSS = -math.log(2)
-K = 0.1
 #: A passage is reported if chance gives fewer as good ones than this.
 SIGNIFICANT = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
@@ -81,7 +80,7 @@ class Model:
 
     lexicon: dict[str, float]
     lam: float
-    k: float = K
+    k: float = 0.1
     loss: float = LOSS
     curve: tuple[float, float] = (0.0, 1.0)
 
@@ -100,26 +99,30 @@ class Model:
         """Segments as good that chance gives in n tokens."""
         return self.k * n * math.exp(-min(self.lam * score, 700.0))
 
-    def evidence(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """How unlikely chance makes the segments, as a negative logarithm; the significant ones by tokens.
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """The text's number of words (1 at least), and all its maximal segments."""
+        words, gain = words_of(text), self.gain
+        return max(1, len(words)), maximal_segments([(i, g) for i, w in enumerate(words) if (g := gain(w))], self.loss)
+
+    def evidence(self, n: int, scores: list[float]) -> float:
+        """How unlikely chance makes segments of these scores in n tokens, as a negative logarithm.
 
         By chance the number of segments as good as the k-th best follows a Poisson law
-        about their expected number; the k for which its tail is least counts.
+        about their expected number; the k for which its tail is least counts. Without any
+        segment there is no evidence, whatever the length.
         """
-        words, gain = words_of(text), self.gain
-        scored = [(i, g) for i, w in enumerate(words) if (g := gain(w))]
-        n = max(1, len(words))
-        found = maximal_segments(scored, self.loss)
-        x = -math.log(self.expected(0.0, n))
-        for k, score in enumerate(sorted((s for *_, s in found), reverse=True), 1):
+        x = 0.0
+        for k, score in enumerate(sorted(scores, reverse=True), 1):
             if (chance := self.expected(score, n)) < k:
                 x = max(x, chance + math.lgamma(k + 1) - k * math.log(chance))
-        return x, [f for f in found if self.expected(f[2], n) < SIGNIFICANT]
+        return x
 
     def passages(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The text's score from 0 to 1, and its significant segments by tokens."""
-        x, found = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.curve[0] + self.curve[1] * x)))), found
+        n, found = self.segments(text)
+        x = self.evidence(n, [score for *_, score in found])
+        significant = [f for f in found if self.expected(f[2], n) < SIGNIFICANT]
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.curve[0] + self.curve[1] * x)))), significant
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -166,18 +169,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("clean") + PRIOR)).alias("error"),
     )
     marks = (F.col("delta") > Z * F.col("error")) & (F.col("delta") - 1.96 * F.col("error") >= LEAST_GAIN)
-    best = scored.where(marks).orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(LEXICON).collect()
+    # tokens of the bounded sample
+    best = scored.where(marks).collect()
     lexicon = {r["token"]: r["delta"] - 1.96 * r["error"] for r in best}
     chance = [((r["clean"] + 0.5) / n_clean, lexicon[r["token"]]) for r in best]
     model = Model(lexicon, _lambda(chance))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.evidence(text.as_py() or "")[0] for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "label"])
+            found = [model.segments(text.as_py() or "") for text in batch.column(0)]
+            scores = [[score for *_, score in own] for _, own in found]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.list_(pa.float64())), batch.column(1)], names=["n", "scores", "label"])
+
+    # the numbers of the bounded sample's segments
+    seen = sample.select("text", "label").mapInArrow(each, "n long, scores array<double>, label int").collect()
+    model.k = _extreme_k([(r["n"], max(r["scores"], default=0.0)) for r in seen if not r["label"]], model.lam)
+    return Model(lexicon, model.lam, model.k, curve=logistic([(model.evidence(r["n"], r["scores"]), r["label"]) for r in seen]))
 
-    seen = sample.select("text", "label").mapInArrow(each, "x double, label int").collect()  # a pair of numbers for each of the sample's rows
-    return Model(lexicon, model.lam, curve=logistic([(r["x"], r["label"]) for r in seen]))
+
+def _extreme_k(best: list[tuple[int, float]], lam: float) -> float:
+    """The likeliest K of the law P(best < s) = exp(-K n exp(-lam s)), from (n, best score) of texts; no segment is a score of 0."""
+    seen = sum(score > 0 for _, score in best)
+    return (seen + 0.5) / max(1.0, sum(n * math.exp(-lam * score) for n, score in best))
 
 
 def logistic(points: list[tuple[float, int]], ridge: float = 1e-3) -> tuple[float, float]:
@@ -237,7 +250,11 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text the model doesn't find toxic, with all their columns."""
+    """The rows of docs whose text the model doesn't find toxic, with all their columns.
+
+    A score of one half counts as toxic. A null text scores as an empty one. Repeated rows
+    and rows without an identifier are judged each by itself; an empty table stays empty.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

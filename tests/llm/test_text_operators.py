@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -212,7 +213,7 @@ def test_quality_and_toxicity(spark, docs):
 def test_segments_by_search():
     rnd = random.Random(8)
     for _ in range(300):
-        scores = [rnd.choice([-1.0, -1.0, 0.7, 1.6, 2.9]) for _ in range(rnd.randrange(0, 14))]
+        scores = [rnd.choice([-1.0, -1.0, rnd.uniform(0.1, 3.0)]) for _ in range(rnd.randrange(0, 14))]
 
         def best(low, high, scores=scores):
             """Ruzzo and Tompa's definition: the best segment, then the best ones to its left and right."""
@@ -223,8 +224,17 @@ def test_segments_by_search():
             return best(low, a) + [(a, b, round(s, 9))] + best(b + 1, high)
 
         got = [(a, b, round(s, 9)) for a, b, s in toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0], -1.0)]
-        assert round(sum(s for *_, s in got), 6) == round(sum(s for *_, s in best(0, len(scores))), 6), scores
-        assert max((s for *_, s in got), default=0) == max((s for *_, s in best(0, len(scores))), default=0)
+        assert got == best(0, len(scores)), scores
+
+
+def test_extreme_values():
+    """K comes back from best segments drawn by the law itself."""
+    rnd = random.Random(3)
+    lam, k, best = 0.8, 0.03, []
+    for _ in range(20_000):
+        n = rnd.randrange(50, 400)
+        best.append((n, max(0.0, math.log(k * n / rnd.expovariate(1)) / lam)))
+    assert abs(toxicity._extreme_k(best, lam) / k - 1) < 0.05 and toxicity._extreme_k([], lam) > 0
 
 
 # 3, WARC
