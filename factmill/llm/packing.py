@@ -17,6 +17,7 @@ is a block and one document.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,7 +40,11 @@ CACHE_CHUNKS = 800_000
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file that drops white space; spaces and line ends cut a text for the cache."""
+    """Ids of texts by a tokenizers file.
+
+    Files that lower-case, drop white space and split letters, digits and marks apart may be
+    given words one by one, so those are cached; with any other file whole texts are encoded.
+    """
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
@@ -49,16 +54,19 @@ class Tokens:
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {"": b""}
         self.most = cache_chunks
+        self.by_word = _splits_words(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word = self.ends_sentence.copy()
         for token, i in vocab.items():
             body = token.removesuffix("</w>")
             self.ends_word[i] = token != body
-            self.ends_sentence[i] = bool(body) and token != body and set(body) <= set(".!?")
+            self.ends_sentence[i] = bool(body) and (token != body or not self.by_word) and set(body) <= set(".!?")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit; words not met before are encoded together."""
+        if not self.by_word:
+            return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.cache) >= self.most:
             self.cache = {"": b""}
         cache = self.cache
@@ -92,6 +100,26 @@ class Tokens:
                 self.cache[word] = np.array(coded.ids, "<u4").tobytes()
 
 
+# What a tokenizers file must say for its words to be independent of each other (fixed values of the format).
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_words(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    normal, cut, model = (spec.get("normalizer") or {}), (spec.get("pre_tokenizer") or {}), spec["model"]
+    steps = cut.get("pretokenizers") or [{}]
+    first = steps[0]
+    return (
+        normal.get("normalizers") == _NORMAL
+        and first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space")
+        and model.get("end_of_word_suffix") == "</w>" and model.get("type") == "BPE" and not model.get("dropout")
+        and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["normalized"] for t in spec.get("added_tokens") or [])
+    )
+
+
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 #: Latin-1 characters: 1 points and commas, 2 others that are neither letters, digits nor space.
 _KIND = np.array([1 if c in ".," else 0 if c.isalnum() or c in _SPACE else 2 for c in map(chr, range(256))], np.uint8)

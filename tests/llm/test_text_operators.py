@@ -405,6 +405,20 @@ def test_packing(docs, window):
     assert packing.pack(docs(), path, window).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_file(name):
+    """A file whose words depend on each other, or on case and space, is given whole texts."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path(name)
+    texts = ["Hello World.", "  two  spaces\nand a LINE .", "<|endoftext|>x", *[t or "" for t in ODD]]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    got = packing.Tokens(path)
+    assert got.by_word == (name == "word_bpe_49k.json")
+    assert [np.frombuffer(c, "<u4").tolist() for c in got.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # 7, quality rules
 
 
