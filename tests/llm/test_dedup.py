@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from factmill.llm import embedding_dedup, shingle_dedup, simhash_dedup
+from factmill.llm import embedding_dedup, simhash_dedup
 from factmill.llm.common import connected_components
 
 
@@ -135,7 +135,7 @@ def test_cells_hold_every_near_pair():
                     assert len(both) == 1, (depth, i, j)
 
 
-def test_shingle_copies(spark, docs, monkeypatch):
+def test_shingle_copies(spark, docs):
     """The pipeline's stage keeps one row of each component of five-word Jaccard 0.8, as plain search does."""
     import corpus_pipeline
 
@@ -160,12 +160,10 @@ def test_shingle_copies(spark, docs, monkeypatch):
     kept = corpus_pipeline.distinct(spark, docs(*rows), "")
     assert kept.columns == docs(*rows).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
-    monkeypatch.setattr(shingle_dedup, "SAMPLE", 1)  # with common shingles, long lists and a single pivot
-    monkeypatch.setattr(shingle_dedup, "COMMON", 3)
-    for limit, rounds in ((1, 3), (32, 1)):
-        got = {r["id"]: r["component"] for r in shingle_dedup.components(docs(*rows), list_limit=limit, rounds=rounds).collect()}
+    for short, rounds in ((1, 3), (8, 1), (100, 2)):
+        got = {r["id"]: r["component"] for r in simhash_dedup.components(docs(*rows), short=short, rounds=rounds).collect()}
         assert {(i, j) for i in got for j in got if got[i] == got[j]} == {(i, j) for i in want for j in want if want[i] == want[j]}
-    assert shingle_dedup.keep_one(docs()).count() == 0
+    assert simhash_dedup.keep_one(docs()).count() == 0
 
 
 def test_rows_that_share_or_lack_ids(spark, docs):
