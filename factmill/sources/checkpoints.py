@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,17 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     return out
 
 
-def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
-    """cut(df), and how many of its rows meet the condition, counted by the job that writes them."""
+def cut_observed(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and named aggregates over its rows, from the job that writes them."""
     seen = Observation()
-    out = cut(df.observe(seen, F.count(F.when(F.expr(condition), 1)).alias("n")))
-    return out, seen.get["n"]
+    out = cut(df.observe(seen, *metrics))
+    return out, seen.get
+
+
+def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """cut(df), and how many of its rows meet the condition."""
+    out, seen = cut_observed(df, F.count(F.when(F.expr(condition), 1)).alias("n"))
+    return out, seen["n"]
 
 
 def cut_union(a: DataFrame, b: DataFrame) -> DataFrame:
