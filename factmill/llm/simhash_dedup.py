@@ -19,10 +19,9 @@ eleven bits, mostly about six. keep_one, which drops near copies, therefore uses
 index over longer signatures: 120 bytes, each that of the least shingle under a hash of
 its own, so that two texts share a byte as often as their shingle sets are similar. They
 are posted under 24 sets of five positions, candidates are kept if their tally of shared
-bytes reaches 72, and verified on the whole sets of shingles. A pair of similarity 0.8
-meets in no list with a probability of 7 in 100,000, and falls short of 72 of the 96 bytes
-that it shares on average with one of less than 1 in a million; more similar pairs hardly
-ever.
+bytes reaches 76, and verified on the whole sets of shingles. A pair of similarity 0.8
+meets in no list with a probability of 7 in 100,000, and falls short of 76 bytes (it shares
+96 on average) with one of about 1 in 100,000; more similar pairs hardly ever.
 """
 
 from __future__ import annotations
@@ -47,9 +46,11 @@ MAX_BITS = 2
 COPY_SHINGLE = 5
 SIMILARITY = (4, 5)
 POSITIONS, BAND = 120, 5
-LEAST_SHARED = 72
-#: Lists of more members get ROUNDS pivots before they are expanded, others one.
-SHORT, ROUNDS = 8, 4
+LEAST_SHARED = 76
+#: Lists of more members get ROUNDS pivots before all their pairs are tallied, others one; a task
+#: tallies chunks of so many members.
+SHORT, ROUNDS = 8, 2
+LIST_CHUNK = 2048
 #: Rows that are sent to all tasks at most, where a join would else deal out texts.
 BROADCAST = 200_000
 _RANDOM = np.random.Generator(np.random.PCG64(9))
@@ -232,21 +233,25 @@ class _Similar:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_SHARED))
 
         likely = cut(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tallied, "a long, b long"))
-        names = self.nodes.select("key", "text_hash")
-        wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(names, "key").select("text_hash"))
-        asked = _among(self.texts, wanted, "text_hash", "left_semi").select("id", "text_hash", "text")
-        made = _with_shingles(asked, {"key": "long", "found": "array<long>"}, lambda s: (key_of(s), s.view(np.int64)), self.shingle)
-        sets = cut(made.groupBy("key").agg(F.first("found").alias("found")))
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         both = likely.join(sets.select(F.col("key").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("found").alias("y")), "b")
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.where((self.of + self.outof) * same >= self.of * (F.size("x") + F.size("y"))).select("a", "b"))
 
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """key, found: the whole sets of some nodes, made from their texts anew."""
+        wanted = cut(keys.join(self.nodes.select("key", "text_hash"), "key").select("text_hash"))
+        asked = _among(self.texts, wanted, "text_hash", "left_semi").select("id", "text_hash", "text")
+        made = _with_shingles(asked, {"key": "long", "found": "array<long>"}, lambda s: (key_of(s), s.view(np.int64)), self.shingle)
+        return cut(made.groupBy("key").agg(F.first("found").alias("found")))
+
     def links(self) -> DataFrame:
         """(a, b) edges whose components are those of all pairs that meet in a list and are similar.
 
         A list isn't expanded at once. Each round compares its members with one of them,
         the one that meets most others, and pairs of the same component need no further
-        comparison; only what is left of a list after that is expanded.
+        comparison. In what is left of a list after that the shared bytes of all its pairs are
+        tallied in blocks, those that share enough are verified there, and only links come out.
         """
         lists = self.lists()
         members = lists.select("h", "key", "reach", "size", F.col("key").alias("label"), F.lit(False).alias("done"))
@@ -261,10 +266,44 @@ class _Similar:
             members = cut(self._open(members.join(best.select("h", "pivot"), "h", "left"), edges))
             if members.isEmpty():
                 return edges
-        left = members.where("not done")
-        rest = left.select("h", F.col("key").alias("p"), F.col("label").alias("x")).join(left.select("h", F.col("key").alias("q"), F.col("label").alias("y")), "h")
-        pairs = cut(rest.where("x <> y and p < q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-        return edges.union(self.verified(pairs))
+        return edges.union(cut(self.within(members.where("not done"))))
+
+    def within(self, members: DataFrame) -> DataFrame:
+        """(a, b) of all similar pairs of different components in a list; other pairs never become rows.
+
+        A pair is looked at in the first list that both are in. Long lists are dealt out
+        over pairs of chunks.
+        """
+        sizes = members.groupBy("h").agg(F.ceil(F.count("*") / LIST_CHUNK).cast("int").alias("chunks"))
+        sets = self.sets(members.select("key").distinct())
+        own = members.select("h", "key", "label").join(self.nodes.select("key", "n", "sig").join(sets, "key"), "key").join(sizes, "h")
+        own = own.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = own.select("h", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "key", "label", "n", "sig", "found")
+        of, outof = self.of, self.outof
+
+        def each(table: pa.Table) -> pa.Table:
+            band, low, high = table["h"][0].as_py() >> 8 * BAND, table["low"][0].as_py(), table["high"][0].as_py()
+            chunk, key, label, n = (table[c].to_numpy() for c in ("chunk", "key", "label", "n"))
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            lists = table["found"].combine_chunks()
+            values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+            found: list[tuple[int, int]] = []
+            for a in left.tolist():
+                b = right[(label[right] != label[a]) & (outof * np.minimum(n[right], n[a]) >= of * np.maximum(n[right], n[a]))]
+                if low == high:
+                    b = b[b > a]
+                same = sig[b] == sig[a]
+                b = b[(same.sum(axis=1) >= LEAST_SHARED) & ~same[:, : BAND * band].reshape(len(b), band, BAND).all(axis=2).any(axis=1)]
+                if len(b):
+                    own, others = values[ends[a] : ends[a + 1]], [values[ends[k] : ends[k + 1]] for k in b.tolist()]
+                    whole = np.concatenate(others)
+                    hit = own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole
+                    shared = np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+                    found += [(int(key[a]), int(key[k])) for k in b[(of + outof) * shared >= of * (n[a] + n[b])].tolist()]
+            return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+        return dealt.groupBy("h", "low", "high").applyInArrow(each, "a long, b long")
 
     @staticmethod
     def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
