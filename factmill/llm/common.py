@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.sources.checkpoints import cut_observed, release, shared_folder
 
+#: Rows of whole texts that go to a Python worker at once, at most.
+ARROW_ROWS = 256
+
+
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage(spark, ...), after which the session's Arrow batches hold ARROW_ROWS rows at most.
+
+    Spark reads that setting where a result is written, which is up to the caller, so it
+    stays with the session. A session that asks for fewer rows keeps its own.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, *args) -> DataFrame:
+        if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+            spark.conf.set(name, str(ARROW_ROWS))
+        return stage(spark, *args)
+
+    return bounded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,6 +37,9 @@ WORD_PENALTY = 4.0
 #: Shorter windows are never made on purpose, though a power of two needs no padding.
 LEAST_WINDOW = 256
 CACHE_CHUNKS = 800_000
+#: What cached words may take, by an estimate: of an entry's bytes these are taken besides the word and its ids.
+CACHE_BYTES = 48 << 20
+_ENTRY_BYTES = 160
 
 
 class Tokens:
@@ -44,16 +47,17 @@ class Tokens:
 
     Files that lower-case, drop white space and split letters, digits and marks apart may be
     given words one by one, so those are cached; with any other file whole texts are encoded.
+    The cache starts anew once it holds cache_chunks words or about cache_bytes.
     """
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {"": b""}
-        self.most = cache_chunks
+        self.most, self.most_bytes, self.held_bytes = cache_chunks, cache_bytes, 0
         self.by_word = _splits_words(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
@@ -67,13 +71,15 @@ class Tokens:
         """The ids of each text as little-endian 32-bit; words not met before are encoded together."""
         if not self.by_word:
             return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.cache) >= self.most:
-            self.cache = {"": b""}
+        if len(self.cache) >= self.most or self.held_bytes >= self.most_bytes:
+            self.cache, self.held_bytes = {"": b""}, 0
         cache = self.cache
         chunks = [_apart(t).replace("\n", " ").split(" ") for t in texts]
         coded = [list(map(cache.get, own)) for own in chunks]
         gaps = [[i for i, v in enumerate(have) if v is None] for have in coded]
-        self._learn(list({own[i] for own, at in zip(chunks, gaps, strict=True) for i in at}))
+        new = list({own[i] for own, at in zip(chunks, gaps, strict=True) for i in at})
+        self._learn(new)
+        self.held_bytes += sum(_ENTRY_BYTES + len(w) + len(cache[w]) for w in new)
         for own, have, at in zip(chunks, coded, gaps, strict=True):
             for i in at:
                 have[i] = cache[own[i]]
